@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with rid, a number for each row that is the same each time df is read from files."""
+    return df.select(F.monotonically_increasing_id().alias("rid"), "*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of this machine only where none is set, as in tests."""
     sc = spark.sparkContext
