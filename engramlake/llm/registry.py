@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from engramlake.llm import decontaminate, lines, quality, simhash
+from engramlake.llm import decontaminate, lines, mixing, quality, simhash
 
-_MODULES = (decontaminate, lines, quality, simhash)
+_MODULES = (decontaminate, lines, mixing, quality, simhash)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
