@@ -92,7 +92,8 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
                 v = p.bundle(text)
                 if v is not None and (n := np.linalg.norm(v)):
                     sums[lang] = sums.get(lang, 0) + v / n
-            yield pd.DataFrame({"lang": list(sums), "v": [v.astype(np.float64) for v in sums.values()]})
+            if sums:
+                yield pd.DataFrame({"lang": list(sums), "v": [v.astype(np.float64) for v in sums.values()]})
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": b["lang"].iloc[:1], "v": [np.sum(list(b["v"]), axis=0)]})

@@ -18,7 +18,7 @@ CONTEXT, DIM, NOISE = 2, 24, 64
 #: Share of all token positions that is trained on; rounds after which the trainers' parameters are averaged.
 SHARE, ROUNDS = 1 / 16, 3
 #: Distinct trained n-grams for each trainer, and in a step.
-A_TRAINER, STEP, RATE = 200_000, 512, 0.3
+A_TRAINER, STEP, RATE = 200_000, 512, 0.1
 _OTHER, _START = 0, 1
 _CHUNK = 1 << 17
 
@@ -126,7 +126,7 @@ def split(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, word
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows added up by their number: the numbers that come, and their sums."""
     order = np.argsort(at, kind="stable")
     at = at[order]
@@ -139,7 +139,7 @@ def train(model: Model, gram: np.ndarray, n: np.ndarray, share: np.ndarray, seed
     size = len(share)
     rng = np.random.default_rng(seed)
     r, q, c, b = model.parts
-    gr, gq, gc, gb = (np.full(p.shape, 1e-2, np.float32) for p in (r, q, c, b))
+    gr, gq, gc, gb = (np.full(p.shape, 1e-4, np.float32) for p in (r, q, c, b))
     upto, log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
     order = rng.permutation(len(gram))
 
@@ -158,9 +158,9 @@ def train(model: Model, gram: np.ndarray, n: np.ndarray, share: np.ndarray, seed
         d_own = weight / (1 + np.exp(np.clip(own, -30, 30))) / len(rows)
         d_other = -weight / (1 + np.exp(-np.clip(other, -30, 30))) / len(rows)
         dh = d_own * q[word] + d_other @ q[noise]
-        at, dq = _sum_rows(np.r_[word, noise], np.concatenate([np.c_[d_own * h, d_own], np.c_[d_other.T @ h, d_other.sum(0)]]), size)
+        at, dq = _sum_rows(np.r_[word, noise], np.concatenate([np.c_[d_own * h, d_own], np.c_[d_other.T @ h, d_other.sum(0)]]))
         for k in range(CONTEXT):
-            where, dr = _sum_rows(contexts[:, k], dh @ c[k].T, size)
+            where, dr = _sum_rows(contexts[:, k], dh @ c[k].T)
             dc = r[contexts[:, k]].T @ dh
             move(r, gr, where, dr)
             move(c, gc, k, dc)
