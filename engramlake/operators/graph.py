@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from engramlake.functions.expressions import edge_is_valid_at, is_valid_at
 
@@ -78,19 +78,24 @@ def bfs(edges: DataFrame, seed: str, depth: int, direction: str = "out", label:
     return hops(s, edges, depth, direction, label).where("hop > 0").select("node_id", "hop")
 
 
-def expand(rows: DataFrame, nodes: DataFrame, edges: DataFrame, relation: str | None, depth: int, order: list[Column] | None = None) -> DataFrame:
+def expand(rows: DataFrame, nodes: DataFrame, edges: DataFrame, relation: str | None, depth: int) -> DataFrame:
     """Records of rows and of all nodes that outgoing edges reach within depth; with depth 0, rows as they are.
 
-    Rows come in an order (score, then node_id). A node is emitted by the first row that it or reaches it: a row that an
+    Rows come in an order (score, then node_id). A node is emitted by the first row that is it or reaches it: a row that an
     earlier row reaches loses its score, as reached records score 0. Nodes that don't exist are passed through.
+
+    Each hop hands every node the least row that has reached it so far, so that what is held grows with the nodes and not
+    with pairs of rows and nodes, and no order of all rows is made.
     """
     if depth == 0:
         return rows
-    w = Window.orderBy(*(order or [F.desc("score"), F.col("node_id")]))
-    numbered = cut(rows.withColumn("_ord", F.row_number().over(w)))
-    first = numbered.groupBy("node_id").agg(F.min("_ord").alias("_own"))
-    reach = hops(numbered.select(F.col("node_id").alias("seed")), edges, depth, "out", relation)
-    by = reach.join(first.select(F.col("node_id").alias("seed"), F.col("_own").alias("_by")), "seed").groupBy("node_id").agg(F.min("_by").alias("_by"))
+    order = F.struct((-F.col("score")).alias("s"), F.col("node_id").alias("n"), F.monotonically_increasing_id().alias("i"))
+    numbered = cut(rows.withColumn("_ord", order))
+    links = step(edges, "out", relation).select("src", "dst").distinct()
+    by = numbered.groupBy("node_id").agg(F.min("_ord").alias("_by"))
+    for _ in range(depth):
+        near = by.join(links, by["node_id"] == links["src"]).select(F.col("dst").alias("node_id"), "_by")
+        by = cut(by.unionByName(near).groupBy("node_id").agg(F.min("_by").alias("_by")))
     own = numbered.join(by, "node_id").where("_ord = _by").select(*rows.columns)
     fresh = by.join(numbered.select("node_id", F.col("_ord").alias("_by")), ["node_id", "_by"], "left_anti").select("node_id")
     return own.unionByName(nodes.join(fresh, "node_id", "left_semi").withColumn("score", F.lit(0.0).cast("float")).select(*rows.columns))
