@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -19,18 +20,13 @@ MIN_TOKENS, CONSTANT = 3, 0.75
 #: Two documents that share so much of either are copies, which are left whole for near-dedup.
 COPY_SHARE = 0.5
 _MASK = "<*>"
+_DIGIT = re.compile(r"\d")
 
 
 def _token_bytes(chunk: str) -> bytes:
     """A token's 32-bit code; a token with a digit is a variable field."""
-    t = _MASK if any(c.isdigit() for c in chunk) else chunk
-    return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-
-
-def _fold(codes: np.ndarray, place: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For each run of codes from its start, a 64-bit hash of those that weigh 1, with their places."""
-    mixed = mix64(codes.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * weight
-    return mix64(np.add.reduceat(mixed, starts))
+    t = _MASK if not chunk.isalpha() and _DIGIT.search(chunk) else chunk
+    return zlib.crc32(t.encode("utf-8", "surrogatepass")).to_bytes(4, "little")
 
 
 def lines(docs: DataFrame, tokens: bool) -> DataFrame:
@@ -57,9 +53,11 @@ def lines(docs: DataFrame, tokens: bool) -> DataFrame:
             flat = np.frombuffer(b"".join(codes), np.uint32)
             starts = np.cumsum(n) - n
             place = np.arange(len(flat)) - np.repeat(starts, n)
-            one = np.ones(len(flat), np.uint64)
-            lead = _fold(flat, place, starts, (place < DEPTH).astype(np.uint64))
-            out = pd.DataFrame({"rid": rid, "ln": ln, "n": n, "leaf": mix64(lead + n.astype(np.uint64)).view(np.int64), "lh": _fold(flat, place, starts, one).view(np.int64), "chars": chars})
+            # A line's hash adds up those of its tokens with their places; a leaf's has the leading ones and the count.
+            mixed = mix64(flat.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+            lead = sum(mixed[starts + k] for k in range(DEPTH)) + n.astype(np.uint64)
+            lh = mix64(np.add.reduceat(mixed, starts)).view(np.int64)
+            out = pd.DataFrame({"rid": rid, "ln": ln, "n": n, "leaf": mix64(lead).view(np.int64), "lh": lh, "chars": chars})
             out["first"] = ~out.duplicated(["rid", "lh"])
             if tokens:
                 out["tokens"] = [np.frombuffer(c, np.int32) for c in codes]
