@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engramlake.llm.common import ChunkCoder, columns, cut, mix64, numbered, small, table, words
 
-#: Bits of the first 64 that may differ, and of all 128.
-NEAR, NEAR_ALL = 7, 15
-#: Near-duplicates have distinct-word counts within this ratio; a band of sizes spans its square.
-RATIO = 1.08
+#: Bits of 128 that may differ: at most 1 in some segment of 16.
+NEAR, _SEGMENTS = 15, 8
+#: Near-duplicates have distinct-word counts within this ratio; a band of sizes spans its power BAND.
+RATIO, BAND = 1.08, 16
 ENTRIES_A_BUCKET = 400_000
-_SEGMENTS = 4
 
 
 def _syndromes() -> np.ndarray:
@@ -85,45 +84,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def entries(nodes: DataFrame, buckets: int) -> DataFrame:
-    """bucket, key, home, rid, lo, hi, n: a fingerprint at its own anchor of each segment, and at all within covering radius + 1.
+    """bucket, key, meta, rid, lo, hi: a fingerprint at its own anchor of each segment, and at all within covering radius + 1.
 
-    NEAR differing bits leave at most NEAR // 4 = 1 in one of the four segments, so the other's home anchor is at most 1
-    further off than the covering radius. A size band is part of the key; copies go to the next band where RATIO reaches it.
+    NEAR differing bits leave at most NEAR // _SEGMENTS = 1 in one of the segments, so the other's home anchor is at most
+    1 further off than the covering radius. A size band is part of the key; copies go to the next band where RATIO reaches
+    it. meta: twice the number of words, and 1 more at home.
     """
 
     def run(batches):
         replicas, homes = _tables()
-        width = 2 * math.log(RATIO)
         for b in batches:
-            lo = b["lo"].to_numpy(np.int64).view(np.uint64)
-            at = np.log(b["n"].to_numpy(float)) / width
+            n = b["n"].to_numpy(np.int64)
+            at = np.log(n.astype(float)) / (BAND * math.log(RATIO))
             band = np.floor(at).astype(np.int64)
-            beside = np.where(at - band < 0.5, band - 1, band + 1)
-            took, keys, home = [], [], []
+            edge = (1 + 1e-9) / BAND
+            beside = np.where(at - band <= edge, band - 1, np.where(band + 1 - at <= edge, band + 1, -2))
+            took, keys, meta = [], [], []
             for k in range(_SEGMENTS):
-                seg = (lo >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
+                half = b["lo" if k < 4 else "hi"].to_numpy(np.int64).view(np.uint64)
+                seg = (half >> np.uint64(16 * (k % 4)) & np.uint64(0xFFFF)).astype(np.int64)
                 near = np.concatenate([homes[seg][:, None], replicas[seg]], 1)
                 row, col = np.nonzero(near >= 0)
                 anchor = near[row, col] | k << 16
-                for which, is_home in ((band, col == 0), (beside, np.zeros(len(col), bool))):
-                    took.append(row)
-                    keys.append(which[row] << 20 | anchor)
-                    home.append(is_home)
+                for which, home in ((band, col == 0), (beside, np.zeros(len(col), bool))):
+                    there = which[row] > -2
+                    took.append(row[there])
+                    keys.append((which[row] + 1 << 20 | anchor)[there])
+                    meta.append((2 * n[row] + home)[there])
             row, key = np.concatenate(took), np.concatenate(keys)
-            out = b[["rid", "lo", "hi", "n"]].take(row).reset_index(drop=True)
-            out["key"], out["home"] = key, np.concatenate(home)
-            out["bucket"] = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            yield out[["bucket", "key", "home", "rid", "lo", "hi", "n"]]
+            out = b[["rid", "lo", "hi"]].take(row).reset_index(drop=True)
+            out["key"], out["meta"] = key.astype(np.int32), np.concatenate(meta)
+            out["bucket"] = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield out[["bucket", "key", "meta", "rid", "lo", "hi"]]
 
-    return nodes.mapInPandas(run, "bucket bigint, key bigint, home boolean, rid bigint, lo bigint, hi bigint, n bigint")
+    return nodes.mapInPandas(run, "bucket int, key int, meta bigint, rid bigint, lo bigint, hi bigint")
 
 
 def _compare(b: pd.DataFrame) -> pd.DataFrame:
     """Pairs within the thresholds that meet at an anchor, the home of one of them."""
     b = b.sort_values("key", kind="stable")
-    key, rid, n = (b[c].to_numpy(np.int64) for c in ("key", "rid", "n"))
+    key, rid, meta = (b[c].to_numpy(np.int64) for c in ("key", "rid", "meta"))
     lo, hi = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi"))
-    h = np.flatnonzero(b["home"].to_numpy(bool))
+    n = meta >> 1
+    h = np.flatnonzero(meta & 1)
     left = np.searchsorted(key, key[h])
     count = np.searchsorted(key, key[h], side="right") - left
     out, done, ends = [], 0, np.cumsum(count)
@@ -132,11 +135,11 @@ def _compare(b: pd.DataFrame) -> pd.DataFrame:
         c = count[done:upto]
         i = np.repeat(h[done:upto], c)
         j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(left[done:upto], c)
-        d = np.bitwise_count(lo[i] ^ lo[j]).astype(np.int64)
-        ok = np.flatnonzero((d <= NEAR) & (rid[i] != rid[j]))
-        i, j, d = i[ok], j[ok], d[ok]
+        d = np.bitwise_count(lo[i] ^ lo[j])
+        ok = np.flatnonzero(d <= NEAR)
+        i, j, d = i[ok], j[ok], d[ok].astype(np.int64)
         few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = np.flatnonzero((d + np.bitwise_count(hi[i] ^ hi[j]) <= NEAR_ALL) & (many <= RATIO * few))
+        ok = np.flatnonzero((d + np.bitwise_count(hi[i] ^ hi[j]) <= NEAR) & (many <= RATIO * few) & (rid[i] != rid[j]))
         out.append(np.stack([np.minimum(rid[i[ok]], rid[j[ok]]), np.maximum(rid[i[ok]], rid[j[ok]])], 1))
         done = upto
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
@@ -145,7 +148,7 @@ def _compare(b: pd.DataFrame) -> pd.DataFrame:
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: all pairs of distinct fingerprints within the thresholds, a < b. nodes: rid, lo, hi, n, cut."""
-    buckets = max(12, math.ceil(nodes.count() * 66 / ENTRIES_A_BUCKET))
+    buckets = max(12, math.ceil(nodes.count() * 100 / ENTRIES_A_BUCKET))
     found = entries(nodes, buckets).groupBy("bucket").applyInPandas(_compare, "a bigint, b bigint")
     return found.distinct()
 
@@ -184,9 +187,8 @@ def groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents with all but one of each group of near-duplicates removed; the columns of documents.
 
-    Near-duplicates: 64-bit SimHashes of the distinct lower-case words at most NEAR bits apart, the 128-bit ones at most
-    NEAR_ALL, and numbers of distinct words within RATIO; groups are the connected components. The first row of the
-    group stays. A null text, or one without a word, is in no group and stays; of repeated rows one stays; an empty
+    Near-duplicates: 128-bit SimHashes of the distinct lower-case words at most NEAR bits apart, and numbers of distinct
+    words within RATIO; groups are the connected components. The first row of the group stays. A null text, or one without a word, is in no group and stays; of repeated rows one stays; an empty
     table gives an empty result; columns beyond those of documents are left out.
     """
     d = numbered(columns(docs))
