@@ -190,7 +190,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     b = blocks(docs, block, ranks)
     counts = {r["source"]: r["n"] for r in b.groupBy("source").agg(F.count("*").alias("n")).collect()}
     s = slots(docs.sparkSession, counts, weights, shard, seed)
-    return s.join(b, ["source", "idx"]).select("shard", "slot", "source", "idx", "epoch", F.col("docs").alias("doc_ids"), "tokens")
+    # Slots are as many as blocks, which their plan doesn't tell: they are never to be broadcast.
+    return s.join(b.hint("merge"), ["source", "idx"]).select("shard", "slot", "source", "idx", "epoch", F.col("docs").alias("doc_ids"), "tokens")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
