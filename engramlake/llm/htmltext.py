@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,9 @@ def text_lines(page: str | None) -> list[str]:
     return [line for x in s.split("\n") if (line := " ".join(x.split()))]
 
 
-def line_code(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def line_codes(lines: list[str]) -> np.ndarray:
+    """32-bit codes of lines: two different lines of two pages are taken for one about once in four billion."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest() for x in lines), np.int32)
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,17 +101,15 @@ def with_place(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": host, "path": path})
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """rid, page_id, url, host, path, lines, codes, written to the shared folder. pages: rid and the columns of pages."""
+def paths_of(pages: DataFrame) -> DataFrame:
+    """host, path, codes, one row for each path: the lines of its page of least page_id. pages: with rid, host and path."""
 
     def run(batches):
         for b in batches:
-            lines = [text_lines(h) for h in b["html"]]
-            b = b.drop(columns="html").assign(lines=lines, codes=[[line_code(x) for x in p] for p in lines])
-            yield b[["rid", "page_id", "url", "host", "path", "lines", "codes"]]
+            yield b.drop(columns="html").assign(codes=[line_codes(text_lines(h)) for h in b["html"]])
 
-    schema = "rid bigint, page_id bigint, url string, host string, path string, lines array<string>, codes array<bigint>"
-    return stored(with_place(pages).select("rid", "page_id", "url", "host", "path", "html").mapInPandas(run, schema), "lines")
+    each = pages.select("rid", "page_id", "host", "path", "html").mapInPandas(run, "rid bigint, page_id bigint, host string, path string, codes array<int>")
+    return each.groupBy("host", "path").agg(F.min_by("codes", F.struct("page_id", "rid")).alias("codes"))
 
 
 def _ordered(paths: DataFrame) -> DataFrame:
@@ -155,21 +155,27 @@ def main_text(pages: DataFrame) -> DataFrame:
     host of its own, with one path. Repeated rows each get a result; an empty table gives an empty result; columns beyond
     those of pages are left out.
     """
-    e = extracted(numbered(columns(pages, PAGE_COLUMNS)))
-    paths = e.groupBy("host", "path").agg(F.min_by("codes", F.struct("page_id", "rid")).alias("codes"))
-    peers = neighbours(paths)
+    placed = with_place(numbered(columns(pages, PAGE_COLUMNS)))
+    peers = neighbours(paths_of(placed))
+
+    def lines(batches):
+        for b in batches:
+            yield b.drop(columns="html").assign(lines=[zlib.compress("\n".join(text_lines(h)).encode("utf-8", "surrogatepass"), 1) for h in b["html"]])
 
     def run(batches):
         for b in batches:
             text, lost, total = [], [], []
-            for lines, codes, peer in zip(b["lines"], b["codes"], b["peer"]):
-                drop = shared_lines(np.asarray(codes, np.int64), np.asarray(peer, np.int64)) if peer is not None else np.zeros(len(lines), bool)
-                text.append("\n".join(x for x, d in zip(lines, drop) if not d))
+            for packed, peer in zip(b["lines"], b["peer"]):
+                own = [x for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if x]
+                drop = shared_lines(line_codes(own), np.asarray(peer, np.int32)) if peer is not None else np.zeros(len(own), bool)
+                text.append("\n".join(x for x, d in zip(own, drop) if not d))
                 lost.append(int(drop.sum()))
-                total.append(len(lines))
+                total.append(len(own))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text, "n_lines": total, "n_dropped": lost})
 
-    joined = e.join(peers, ["host", "path"], "left").select("page_id", "url", "lines", "codes", "peer")
+    # Lines are taken from the pages a second time, which costs less than keeping them on disk, and moved compressed.
+    e = placed.select("page_id", "url", "host", "path", "html").mapInPandas(lines, "page_id bigint, url string, host string, path string, lines binary")
+    joined = e.join(peers, ["host", "path"], "left").select("page_id", "url", "lines", "peer")
     return joined.mapInPandas(run, "page_id bigint, url string, text string, n_lines bigint, n_dropped bigint")
 
 
