@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engramlake.llm.common import ChunkCoder, columns, cut, mix64, small, table, words
 
-#: Labelled seed terms; those that the corpus lacks don't count.
+#: English seed terms given by hand, beside those that the labels give; those that the corpus lacks don't count.
 TOXIC_SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "loser")
+#: Labelled documents looked at for seeds, for each language and label (about; all where there are fewer).
+LABELLED = 4000
+#: A seed's least log-likelihood ratio (G2) of toxic against clean documents, and the most seeds of a language.
+LEAST_G2, SEEDS = 14.0, 200
 #: Words on either side that count as near.
 REACH = 10
 #: Times that two words have to be near for an edge, and least PPMI (bits) of one.
@@ -22,6 +26,8 @@ RESTART, STEPS = 0.3, 20
 LEAST_WEIGHT = 0.05
 #: A document's score from which it is toxic: lexicon weight per SCALE words, SCALE at least.
 TOXIC, SCALE = 0.3, 100
+#: Share of a language's labelled clean documents that may reach its least toxic score.
+FALSE = 0.02
 
 
 def word_code(word: str) -> int:
@@ -44,6 +50,55 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, lang, label: a sample of the labelled documents, LABELLED for each language and label, by a hash of doc_id."""
+    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    named = cut(docs.where("lang IS NOT NULL").select("doc_id", "lang").join(known, "doc_id"))
+    share = named.groupBy("lang", "label").agg(F.least(F.lit(1.0), F.lit(float(LABELLED)) / F.count("*")).alias("share"))
+    picked = cut(named.join(F.broadcast(share), ["lang", "label"]).where("pmod(xxhash64(doc_id), 1000000) < share * 1000000").select("doc_id", "label").distinct())
+    return cut(docs.select("doc_id", "text", "lang").join(small(picked), "doc_id").where("lang IS NOT NULL"))
+
+
+def label_seeds(each: DataFrame) -> dict[str, np.ndarray]:
+    """lang: codes of the words that come in toxic documents more often than chance has it. each: as labelled() gives it.
+
+    A document counts a word once, and documents that have it in one surrounding count once, so that copies don't.
+    """
+
+    def run(batches):
+        coder = ChunkCoder(_word_bytes)
+        for b in batches:
+            for lang, label, text in zip(b["lang"], b["label"], b["text"]):
+                c = coder.array(text, np.int64)
+                padded = np.r_[0, c, 0].view(np.uint64)
+                around = mix64(padded[:-2] + mix64(padded[2:])).view(np.int64)
+                order = np.lexsort((around, c))
+                codes, first = np.unique(c[order], return_index=True)
+                yield pd.DataFrame({"lang": lang, "label": label, "code": codes, "around": around[order][first]})
+
+    rows = each.select("lang", "label", "text").mapInPandas(run, "lang string, label int, code bigint, around bigint")
+    distinct = lambda label: F.count_distinct(F.when(F.col("label") == label, F.col("around")))
+    found = rows.groupBy("lang", "code").agg(distinct(1).alias("t"), distinct(0).alias("n")).where("t >= 3")
+    sizes = {(r["lang"], r["label"]): r["count"] for r in each.groupBy("lang", "label").count().collect()}
+    out: dict[str, list] = {}
+    for r in found.where("t > n").collect():
+        nt, nn = sizes.get((r["lang"], 1), 0), sizes.get((r["lang"], 0), 0)
+        g2 = _g2(r["t"], r["n"], nt, nn)
+        if nn and g2 >= LEAST_G2:
+            out.setdefault(r["lang"], []).append((-g2, r["code"]))
+    return {k: np.array([c for _, c in sorted(v)[:SEEDS]], np.int64) for k, v in sorted(out.items())}
+
+
+def _g2(t: int, n: int, nt: int, nn: int) -> float:
+    """Log-likelihood ratio of a word in t of nt toxic and n of nn clean documents; 0 if the toxic have it no more often."""
+    p = (t + n) / (nt + nn)
+    if t <= p * nt:
+        return 0.0
+    cells = ((t, p * nt), (n, p * nn), (nt - t, (1 - p) * nt), (nn - n, (1 - p) * nn))
+    return 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+
+
 def near_counts(docs: DataFrame, terms: np.ndarray, both: bool) -> DataFrame:
     """a, b, n: how often b is within REACH words of a term a; with both, only for terms b.
 
@@ -100,15 +155,15 @@ def walk(edges: pd.DataFrame, seeds: np.ndarray) -> dict[int, float]:
     return {int(n): float(x / top) for n, x in zip(nodes, p) if x >= LEAST_WEIGHT * top}
 
 
-def induce(docs: DataFrame, seeds: tuple[str, ...] = TOXIC_SEEDS) -> dict[int, float]:
-    """word_code: polarity weight, from all documents.
+def induce(docs: DataFrame, seeds: tuple[str, ...] | np.ndarray = TOXIC_SEEDS) -> dict[int, float]:
+    """word_code: polarity weight, from all documents; seeds are words, or their codes.
 
     The graph's nodes are the seeds and all words with an edge to one; its edges are among these. So the walks' matrix
     grows with the words that keep company with seeds, and the counting with the corpus.
     """
     counts = cut(word_counts(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    want = np.array([word_code(s) for s in seeds], np.int64)
+    want = seeds if isinstance(seeds, np.ndarray) else np.array([word_code(s) for s in seeds], np.int64)
     spark = docs.sparkSession
     there = counts.join(F.broadcast(spark.createDataFrame([(int(x),) for x in want], "code bigint")), "code").select("code").collect()
     found = np.array([r["code"] for r in there], np.int64)
@@ -121,38 +176,75 @@ def induce(docs: DataFrame, seeds: tuple[str, ...] = TOXIC_SEEDS) -> dict[int, f
     return walk(edges.sort_values(["a", "b"]), found)
 
 
-def score(docs: DataFrame, lexicon: dict[int, float]) -> DataFrame:
+def lexicons(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], dict[str, dict[int, float]], dict[str, float]]:
+    """The lexicon for a document of any other language, all of them together; each language's own; and its least toxic score.
+
+    A language's words are counted in its own documents: in all of them, two words of one language are always nearer than
+    chance has it. A least score is TOXIC, or a higher one by the labelled sample (_least).
+    """
+    sample = labelled(docs, labels)
+    seeds = label_seeds(sample)
+    seeds["en"] = np.union1d(seeds.get("en", np.empty(0, np.int64)), np.array([word_code(s) for s in TOXIC_SEEDS], np.int64))
+    own = {k: induce(docs.where(F.col("lang") == k), v) for k, v in sorted(seeds.items())}
+    every: dict[int, float] = {}
+    for lexicon in own.values():
+        for c, w in lexicon.items():
+            every[c] = max(w, every.get(c, 0.0))
+    known = score(sample, every, own).join(sample.select("doc_id", "lang", "label"), "doc_id").select("lang", "label", "score").toPandas()
+    return every, own, {k: _least(g["score"].to_numpy(), g["label"].to_numpy() == 1) for k, g in known.groupby("lang")}
+
+
+def _least(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The lower of the scores from which F1 is best and that FALSE of the clean reach, TOXIC at least.
+
+    F1 alone is too strict, as the sample gave the lexicon its words; the clean alone are, where some have toxic copies.
+    """
+    tries = np.unique(np.r_[TOXIC, scores[toxic & (scores > TOXIC)]])
+    f1 = [2 * (toxic & (scores >= x)).sum() / max(1, toxic.sum() + (scores >= x).sum()) for x in tries]
+    clean = np.quantile(scores[~toxic], 1 - FALSE, method="higher") if (~toxic).any() else TOXIC
+    return max(TOXIC, min(float(tries[int(np.argmax(f1))]), float(clean)))
+
+
+def score(docs: DataFrame, lexicon: dict[int, float], own: dict[str, dict[int, float]] | None = None, least: dict[str, float] | None = None) -> DataFrame:
     """doc_id, hits, score, toxic, for every row of docs.
 
     Method: a graph joins words that are near one another more than chance has it (PPMI); random walks with restart from
     labelled seed terms give words their polarity weights; a document's score is the sum of its words' weights, per SCALE
     words for a document of more. hits: the number of its words in the lexicon; toxic: whether the score reaches TOXIC.
+    A document in a language that own has gets that lexicon, any other the given one; least gives languages other scores
+    in place of TOXIC.
 
     A null text, or one without words, scores 0; so do all where the corpus has no seed. Repeated rows are each scored; an
-    empty table gives an empty result; columns other than doc_id and text aren't read.
+    empty table gives an empty result; columns other than doc_id, text and lang aren't read.
     """
-    codes = np.array(sorted(lexicon), np.int64)
-    weights = np.array([lexicon[int(c)] for c in codes], float)
+
+    def arrays(x):
+        codes = np.array(sorted(x), np.int64)
+        return codes, np.array([x[int(c)] for c in codes], float)
+
+    other, by = arrays(lexicon), {k: arrays(x) for k, x in (own or {}).items()}
 
     def run(batches):
         coder = ChunkCoder(_word_bytes)
         for b in batches:
             hits, total = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for i, text in enumerate(b["text"]):
+            need = np.array([(least or {}).get(lang, TOXIC) for lang in b["lang"]], float)
+            for i, (text, lang) in enumerate(zip(b["text"], b["lang"])):
                 c = coder.array(text, np.int64)
+                codes, weights = by.get(lang, other)
                 if len(c) and len(codes):
                     at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
                     at = at[codes[at] == c]
                     hits[i], total[i] = len(at), weights[at].sum() * SCALE / max(SCALE, len(c))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "hits": hits, "score": total.round(6), "toxic": total >= TOXIC})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "hits": hits, "score": total.round(6), "toxic": total.round(6) >= need})
 
-    return columns(docs).select("doc_id", "text").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
+    return columns(docs).select("doc_id", "text", "lang").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, hits, score and toxic for every document, by the lexicon that all documents give."""
+    """doc_id, hits, score and toxic for every document, by the lexicons that all documents give from each language's seeds."""
     docs = columns(table(spark, sf_dir, "documents"))
-    return score(docs, induce(docs))
+    return score(docs, *lexicons(docs, table(spark, sf_dir, "labels")))
 
 
 SQL: dict[str, str] = {}

@@ -334,6 +334,19 @@ def test_toxicity(spark):
     assert (s["label"][hit] == 1).mean() >= 0.95 and hit[s["label"] == 1].mean() >= 0.9
 
 
+def test_toxicity_in_every_language(spark):
+    """Lexicons from one half of the labels, recall and false alarms on the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = toxicity.lexicons(docs, labels.where("doc_id % 2 = 0"))
+    s = toxicity.score(docs.where("doc_id % 2 = 1"), *found).join(docs.select("doc_id", "lang"), "doc_id")
+    s = s.join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
+    figures = {k: (round(g["toxic"][g["label"] == 1].mean(), 3), round(g["toxic"][g["label"] == 0].mean(), 3)) for k, g in s.groupby("lang")}
+    print(figures)
+    for lang, recall in (("de", 0.9), ("en", 0.9), ("es", 0.4), ("fr", 0.9)):
+        assert figures[lang][0] >= recall and figures[lang][1] <= 0.04, figures
+
+
 def test_near_words_are_counted_once_a_passage(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice(["bad", "awful", *"abcdefgh"]) for _ in range(40)) for _ in range(30)]
