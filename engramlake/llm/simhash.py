@@ -13,9 +13,9 @@ from engramlake.llm.common import ChunkCoder, columns, cut, mix64, numbered, sma
 
 #: Bits of 128 that may differ: at most 1 in some segment of 16.
 NEAR, _SEGMENTS = 15, 8
-#: Near-duplicates have distinct-word counts within this ratio; a band of sizes spans its power BAND.
-RATIO, BAND = 1.08, 16
-ENTRIES_A_BUCKET = 400_000
+#: Numbers of distinct words may differ by any ratio: bits alone decide.
+RATIO = math.inf
+ENTRIES_A_BUCKET, PAIRS_A_STEP = 400_000, 1 << 18
 
 
 def _syndromes() -> np.ndarray:
@@ -84,70 +84,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def entries(nodes: DataFrame, buckets: int) -> DataFrame:
-    """bucket, key, meta, rid, lo, hi: a fingerprint at its own anchor of each segment, and at all within covering radius + 1.
+    """bucket, key, home, rid, lo, hi: a fingerprint at its own anchor of each segment, and at all within covering radius + 1.
 
     NEAR differing bits leave at most NEAR // _SEGMENTS = 1 in one of the segments, so the other's home anchor is at most
-    1 further off than the covering radius. A size band is part of the key; copies go to the next band where RATIO reaches
-    it. meta: twice the number of words, and 1 more at home.
+    1 further off than the covering radius. home: whether the anchor is its own.
     """
 
     def run(batches):
         replicas, homes = _tables()
         for b in batches:
-            n = b["n"].to_numpy(np.int64)
-            at = np.log(n.astype(float)) / (BAND * math.log(RATIO))
-            band = np.floor(at).astype(np.int64)
-            edge = (1 + 1e-9) / BAND
-            beside = np.where(at - band <= edge, band - 1, np.where(band + 1 - at <= edge, band + 1, -2))
-            took, keys, meta = [], [], []
+            took, keys, homely = [], [], []
             for k in range(_SEGMENTS):
                 half = b["lo" if k < 4 else "hi"].to_numpy(np.int64).view(np.uint64)
                 seg = (half >> np.uint64(16 * (k % 4)) & np.uint64(0xFFFF)).astype(np.int64)
                 near = np.concatenate([homes[seg][:, None], replicas[seg]], 1)
                 row, col = np.nonzero(near >= 0)
-                anchor = near[row, col] | k << 16
-                for which, home in ((band, col == 0), (beside, np.zeros(len(col), bool))):
-                    there = which[row] > -2
-                    took.append(row[there])
-                    keys.append((which[row] + 1 << 20 | anchor)[there])
-                    meta.append((2 * n[row] + home)[there])
+                took.append(row)
+                keys.append(near[row, col] | k << 16)
+                homely.append(col == 0)
             row, key = np.concatenate(took), np.concatenate(keys)
             out = b[["rid", "lo", "hi"]].take(row).reset_index(drop=True)
-            out["key"], out["meta"] = key.astype(np.int32), np.concatenate(meta)
+            out["key"], out["home"] = key.astype(np.int32), np.concatenate(homely)
             out["bucket"] = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield out[["bucket", "key", "meta", "rid", "lo", "hi"]]
+            yield out[["bucket", "key", "home", "rid", "lo", "hi"]]
 
-    return nodes.mapInPandas(run, "bucket int, key int, meta bigint, rid bigint, lo bigint, hi bigint")
+    return nodes.mapInPandas(run, "bucket int, key int, home boolean, rid bigint, lo bigint, hi bigint")
 
 
 def _compare(b: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within the thresholds that meet at an anchor, the home of one of them."""
-    b = b.sort_values("key", kind="stable")
-    key, rid, meta = (b[c].to_numpy(np.int64) for c in ("key", "rid", "meta"))
+    """Pairs within NEAR bits that meet at an anchor, the home of one of them."""
+    b = b.sort_values(["key", "home"], ascending=[True, False], kind="stable")
+    key, rid, home = b["key"].to_numpy(), b["rid"].to_numpy(np.int64), b["home"].to_numpy(bool)
     lo, hi = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi"))
-    n = meta >> 1
-    h = np.flatnonzero(meta & 1)
-    left = np.searchsorted(key, key[h])
-    count = np.searchsorted(key, key[h], side="right") - left
-    out, done, ends = [], 0, np.cumsum(count)
-    while done < len(h):
-        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 2_000_000)))
-        c = count[done:upto]
-        i = np.repeat(h[done:upto], c)
-        j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(left[done:upto], c)
-        d = np.bitwise_count(lo[i] ^ lo[j])
-        ok = np.flatnonzero(d <= NEAR)
-        i, j, d = i[ok], j[ok], d[ok].astype(np.int64)
-        few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = np.flatnonzero((d + np.bitwise_count(hi[i] ^ hi[j]) <= NEAR) & (many <= RATIO * few) & (rid[i] != rid[j]))
-        out.append(np.stack([np.minimum(rid[i[ok]], rid[j[ok]]), np.maximum(rid[i[ok]], rid[j[ok]])], 1))
-        done = upto
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends, at_home = np.r_[starts[1:], len(key)], np.add.reduceat(home.astype(np.int64), starts)
+    out = []
+    for start, end, homes in zip(starts.tolist(), ends.tolist(), at_home.tolist()):
+        step = max(1, PAIRS_A_STEP // (end - start))
+        for h in range(start, start + homes, step):
+            # Those at home come first in a key, so that two of them meet once.
+            i, j = np.nonzero(np.bitwise_count(lo[h : min(h + step, start + homes), None] ^ lo[None, h:end]) <= NEAR)
+            i, j = i + h, j + h
+            i, j = i[i < j], j[i < j]
+            ok = np.bitwise_count(lo[i] ^ lo[j]) + np.bitwise_count(hi[i] ^ hi[j]) <= NEAR
+            i, j = i[ok], j[ok]
+            if len(i):
+                out.append(np.stack([np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])], 1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
-    """a, b: all pairs of distinct fingerprints within the thresholds, a < b. nodes: rid, lo, hi, n, cut."""
+    """a, b: all pairs of distinct fingerprints within NEAR bits, a < b. nodes: rid, lo, hi, cut."""
     buckets = max(12, math.ceil(nodes.count() * 100 / ENTRIES_A_BUCKET))
     found = entries(nodes, buckets).groupBy("bucket").applyInPandas(_compare, "a bigint, b bigint")
     return found.distinct()
@@ -178,17 +166,16 @@ def groups(docs: DataFrame) -> DataFrame:
     Documents with one fingerprint are one node, so a group of equal copies costs as much as one document.
     """
     prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("lo", "hi", "n").agg(F.min("rid").alias("rid")))
+    nodes = cut(prints.groupBy("lo", "hi").agg(F.min("rid").alias("rid")))
     roots = components(near_pairs(nodes))
-    named = nodes.join(roots, nodes["rid"] == roots["node"], "left").select("lo", "hi", "n", F.coalesce("root", "rid").alias("root"))
-    return prints.join(named, ["lo", "hi", "n"]).select("rid", "doc_id", "root")
+    named = nodes.join(roots, nodes["rid"] == roots["node"], "left").select("lo", "hi", F.coalesce("root", "rid").alias("root"))
+    return prints.join(named, ["lo", "hi"]).select("rid", "doc_id", "root")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents with all but one of each group of near-duplicates removed; the columns of documents.
 
-    Near-duplicates: 128-bit SimHashes of the distinct lower-case words at most NEAR bits apart, and numbers of distinct
-    words within RATIO; groups are the connected components. The first row of the group stays. A null text, or one without a word, is in no group and stays; of repeated rows one stays; an empty
+    Near-duplicates: 128-bit SimHashes of the distinct lower-case words at most NEAR bits apart; groups are the connected components. The first row of the group stays. A null text, or one without a word, is in no group and stays; of repeated rows one stays; an empty
     table gives an empty result; columns beyond those of documents are left out.
     """
     d = numbered(columns(docs))

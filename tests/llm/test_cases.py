@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,19 @@ def test_pipeline_over_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_any_size(spark):
+    """Plain Hamming distance decides, also where a paragraph was added."""
+    r, prints, texts = random.Random(8), [], []
+    for _ in range(60):
+        w = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+        texts += [" ".join(w), " ".join(w[: r.randrange(110, 135)])]
+    d = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    d = simhash.numbered(simhash.columns(d)).coalesce(1)
+    got = simhash.cut(simhash.fingerprints(d)).collect()
+    x = {g["rid"]: (g["lo"] & (2**64 - 1) | (g["hi"] & (2**64 - 1)) << 64, g["n"]) for g in got}
+    want = {(a, b) for a in x for b in x if a < b and (x[a][0] ^ x[b][0]).bit_count() <= simhash.NEAR}
+    sizes = [max(x[a][1], x[b][1]) / min(x[a][1], x[b][1]) for a, b in want]
+    assert sum(s > 1.08 for s in sizes) >= 5
+    assert {(p["a"], p["b"]) for p in simhash.near_pairs(simhash.cut(simhash.fingerprints(d))).collect()} == want
