@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOCUMENT_COLUMNS = (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -26,18 +27,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with rid, a number for each row that is the same each time df is read from files."""
-    return df.select(F.monotonically_increasing_id().alias("rid"), "*")
+    """df with rid, a number for each row that is the same however often and in whatever splits df is computed.
+
+    Rows that only come from Parquet files have the place in their file, in the order of the files' paths. Any other
+    frame is first written to the shared folder with its numbers: computed again it could have its rows in other places.
+    """
+    if not _plain_scan(df):
+        return stored(df.select(F.monotonically_increasing_id().alias("rid"), "*"), "numbered")
+    path = F.col("_metadata.file_path")
+    paths = sorted(r[0] for r in df.select(path.alias("path")).distinct().collect())  # constant in a file; no column is read
+    at = F.col("_metadata.row_index")
+    if len(paths) < 2:
+        return df.select(at.alias("rid"), "*")
+    files = df.sparkSession.createDataFrame([(p, i << 40) for i, p in enumerate(paths)], "_path string, _file bigint")
+    return df.select(path.alias("_path"), at.alias("_row"), "*").join(small(files), "_path").select((F.col("_file") + F.col("_row")).alias("rid"), *df.columns)
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a table of Parquet files with nothing but deterministic selections and projections on it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().apply(0)
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, or else the context's; one of this machine only where all runs on it."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="engramlake-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -59,9 +84,33 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join. df is to be cut or stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; else as it is, for a shuffled join. df is to be cut or stored."""
+    part = df.limit(rows + 1)
+    wide = [F.octet_length(c) if t in ("string", "binary") else F.size(c) * 16 for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map"))]
+    n, held = part.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
+def slices(texts, size: int = 1 << 20):
+    """Slices (from, to) of the texts with about so many characters each, one text at least."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def word_code(word: str) -> bytes:
+    """A word's 64-bit code."""
+    return xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
+
+
+def word_codes(chunk: str) -> bytes:
+    return b"".join(map(word_code, words(chunk)))
 
 
 def words(text: str) -> list[str]:
@@ -74,15 +123,18 @@ class ChunkCoder(dict):
     encode gets a chunk and returns bytes; coder.array(text, dtype) is what its chunks give, in order.
     """
 
-    LIMIT = 500_000
+    #: Bytes of chunks and codes that are kept, and what an entry takes beside them.
+    LIMIT, ENTRY = 64 << 20, 200
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
+        self.left = self.LIMIT
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.encode(chunk)
-        if len(self) < self.LIMIT:
+        if self.left > 0:
+            self.left -= len(chunk) + len(value) + self.ENTRY
             self[chunk] = value
         return value
 

@@ -2,127 +2,123 @@
 
 from __future__ import annotations
 
-import re
-import zlib
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, numbered, small, stored, table
+from engramlake.llm import simhash
+from engramlake.llm.common import columns, cut, numbered, small, stored, table
 
 #: Leading tokens in the tree, below the token count.
 DEPTH = 3
-#: Documents in which a template, or a token at its place, has to be.
-MIN_DOCS = 3
-#: Tokens that a line has to have; share of a template's tokens that don't vary.
-MIN_TOKENS, CONSTANT = 3, 0.75
-#: Two documents that share so much of either are copies, which are left whole for near-dedup.
+#: Documents in which a template, or a token at its place, has to be, for lines of at least so many tokens: short lines come again by chance.
+LEAST_DOCS = ((5, 2), (3, 3), (2, 10), (1, 20))
+#: Share of a template's tokens that don't vary.
+CONSTANT = 0.8
+#: Two documents that share so much of either may be copies; near-duplicates among them are left whole for near-dedup.
 COPY_SHARE = 0.5
 _MASK = "<*>"
-_DIGIT = re.compile(r"\d")
+#: White space as Python has it, as the inside of a character class; a token with a digit.
+_S = r"\s\x1c-\x1f\x85\p{Z}"
+_FIELD = rf"(?<![^{_S}])[^{_S}\p{{Nd}}]*+\p{{Nd}}[^{_S}]*+"
+
+
+#: White space other than a blank.
+_ODD = rf"[\t\x0B\f\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]"
 
 
-def _token_bytes(chunk: str) -> bytes:
-    """A token's 32-bit code; a token with a digit is a variable field."""
-    t = _MASK if not chunk.isalpha() and _DIGIT.search(chunk) else chunk
-    return zlib.crc32(t.encode("utf-8", "surrogatepass")).to_bytes(4, "little")
+def _tokens(line: Column) -> Column:
+    return F.array_remove(F.when(line.rlike(_ODD), F.split(line, f"[{_S}]+")).otherwise(F.split(line, " ")), "")
+
+
+def _least(n: Column) -> Column:
+    return F.coalesce(*[F.when(n >= k, F.lit(docs)) for k, docs in LEAST_DOCS])
 
 
 def lines(docs: DataFrame, tokens: bool) -> DataFrame:
-    """rid, ln, n, leaf, lh, chars, first, and with tokens their codes: the lines of MIN_TOKENS or more.
+    """rid, ln, n, leaf, lh, chars, and with tokens the tokens: all lines that have one.
 
-    leaf: hash of the count and the leading tokens; lh: hash of all tokens; first: no earlier line of the document has lh.
+    A token with a digit is a field, _MASK; a line of which more than 1 - CONSTANT would be fields is taken as it is.
+    leaf: hash of the count and the leading tokens; lh: hash of all tokens.
     """
-
-    def run(batches):
-        coder = ChunkCoder(_token_bytes)
-        for b in batches:
-            rid, ln, chars, codes, of = [], [], [], [], 0
-            for r, text in zip(b["rid"], b["text"]):
-                for i, line in enumerate(text.split("\n") if text else ()):
-                    c = b"".join(map(coder.__getitem__, line.split()))
-                    if len(c) >= 4 * MIN_TOKENS:
-                        rid.append(r)
-                        ln.append(i)
-                        chars.append(len(line))
-                        codes.append(c)
-            n = np.array([len(c) // 4 for c in codes], np.int64)
-            if not len(n):
-                continue
-            flat = np.frombuffer(b"".join(codes), np.uint32)
-            starts = np.cumsum(n) - n
-            place = np.arange(len(flat)) - np.repeat(starts, n)
-            # A line's hash adds up those of its tokens with their places; a leaf's has the leading ones and the count.
-            mixed = mix64(flat.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
-            lead = sum(mixed[starts + k] for k in range(DEPTH)) + n.astype(np.uint64)
-            lh = mix64(np.add.reduceat(mixed, starts)).view(np.int64)
-            out = pd.DataFrame({"rid": rid, "ln": ln, "n": n, "leaf": mix64(lead).view(np.int64), "lh": lh, "chars": chars})
-            out["first"] = ~out.duplicated(["rid", "lh"])
-            if tokens:
-                out["tokens"] = [np.frombuffer(c, np.int32) for c in codes]
-            yield out
-
-    schema = "rid bigint, ln int, n int, leaf bigint, lh bigint, chars bigint, first boolean" + ", tokens array<int>" * tokens
-    return docs.select("rid", "text").mapInPandas(run, schema)
-
-
-def templates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """lh, template: of the lines in leaves that MIN_DOCS documents reach, those whose template is constant enough.
-
-    In a leaf with several lines, a token that fewer than MIN_DOCS documents have at its place is generalised.
+    line = docs.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line")).where(F.col("line").rlike(f"[^{_S}]"))
+    digits = F.col("line").rlike(r"\p{Nd}")
+    line = line.select("rid", "ln", "line", F.when(digits, F.regexp_replace("line", _FIELD, _MASK)).alias("masked"))
+    line = line.select("rid", "ln", F.char_length("line").alias("chars"), _tokens(F.col("line")).alias("own"), F.when(F.col("masked").isNotNull(), _tokens(F.col("masked"))).alias("masked"))
+    few = F.size(F.array_remove("masked", _MASK)) >= CONSTANT * F.size("own")
+    line = line.select("rid", "ln", "chars", F.when(F.col("masked").isNotNull() & few, F.col("masked")).otherwise(F.col("own")).alias("tokens"))
+    n = F.size("tokens")
+    hashes = [n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("lh")]
+    return line.select("rid", "ln", *hashes, "chars", *["tokens"] * tokens)
+
+
+def templates(docs: DataFrame, by_line: DataFrame) -> DataFrame:
+    """leaf, lh, template: the lines, of leaves that enough documents reach, whose template is constant enough.
+
+    In a leaf with several lines, a token that too few documents have at its place is generalised; in a leaf with one
+    line there's nothing to generalise.
     """
-    by_line = cut(found.where("first").groupBy("leaf", "lh").agg(F.count("*").alias("docs")))
-    leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(f"docs >= {MIN_DOCS}")
-    plain = by_line.join(leaves.where("kinds = 1").select("leaf"), "leaf", "left_semi").select("lh", F.col("lh").alias("template"))
-    several = cut(leaves.where("kinds > 1").select("leaf"))
-    kinds = cut(
-        lines(docs, True).where("first").join(small(several), "leaf", "left_semi")
-        .groupBy("leaf", "lh").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
-    )
-    at = kinds.select("leaf", "lh", "docs", F.posexplode("tokens").alias("place", "token"))
-    known = at.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).where(f"support >= {MIN_DOCS}").drop("support")
+    leaves = by_line.groupBy("leaf", "n").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= _least(F.col("n")))
+    leaves = cut(leaves.select("leaf", "kinds"))
+    plain = by_line.join(leaves.where("kinds = 1"), "leaf", "left_semi").select("leaf", "lh", F.col("lh").alias("template"))
+    several = leaves.where("kinds > 1").select("leaf")
+    kinds = lines(docs, True).join(small(cut(several)), "leaf", "left_semi").groupBy("leaf", "lh").agg(F.max(F.array_join("tokens", " ")).alias("line"))
+    kinds = cut(kinds.join(by_line.select("leaf", "lh", "n", "docs"), ["leaf", "lh"]))
+    at = kinds.select("leaf", "lh", "n", "docs", F.posexplode(F.split("line", " ")).alias("place", "token")).where(F.col("token") != _MASK)
+    at = at.withColumn("token", F.xxhash64("token"))
+    known = at.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= _least(F.col("n"))).drop("support", "n")
     part = F.xxhash64("place", "token").cast("decimal(38,0)")
-    shape = at.join(known, ["leaf", "place", "token"]).groupBy("leaf", "lh").agg(F.count("*").alias("same"), F.sum(part).alias("code"))
-    varied = kinds.select("lh", "leaf", F.size("tokens").alias("n")).join(shape, ["leaf", "lh"]).where(F.col("same") >= CONSTANT * F.col("n"))
-    return plain.unionByName(varied.select("lh", F.xxhash64("leaf", "code").alias("template")))
+    shape = at.join(known, ["leaf", "place", "token"]).groupBy("leaf", "lh", "n").agg(F.count("*").alias("same"), F.sum(part).alias("code"))
+    return plain.unionByName(shape.where(F.col("same") >= CONSTANT * F.col("n")).select("leaf", "lh", F.xxhash64("leaf", "code").alias("template")))
+
+
+def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (rid, head) whose documents near-dedup's own test joins. docs: rid, text."""
+    wanted = cut(pairs.select("rid").unionByName(pairs.select(F.col("head").alias("rid"))).distinct())
+    prints = cut(simhash.fingerprints(docs.join(small(wanted), "rid", "left_semi").select("rid", F.col("rid").alias("doc_id"), "text")).select("rid", "lo", "hi"))
+    other = prints.select(F.col("rid").alias("head"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    bits = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
+    return pairs.join(prints, "rid").join(other, "head").where(bits <= simhash.NEAR).select("rid", "head")
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """rid, ln, head: each line to drop, and the row that keeps the template's lines. docs: rid, text."""
     found = stored(lines(docs, False), "lines")
-    named = templates(docs, found)
-    of = cut(found.where("first").join(named, "lh").groupBy("template", "lh").agg(F.count("*").alias("docs"), F.min("rid").alias("rid")))
-    recurring = of.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("rid").alias("head")).where(f"docs >= {MIN_DOCS}")
-    heads = cut(of.join(recurring.select("template", "head"), "template").select("lh", "head"))
-    again = cut(found.join(small(heads), "lh").where("rid <> head").select("rid", "ln", "chars", "head"))
+    # A line in very many documents is counted by document first, so no task gets them all.
+    by_line = found.select("leaf", "lh", "n", "rid").distinct().groupBy("leaf", "lh", "n").agg(F.count("*").alias("docs"), F.min("rid").alias("rid"))
+    by_line = stored(by_line, "kinds")
+    of = cut(by_line.join(templates(docs, by_line), ["leaf", "lh"]).select("template", "leaf", "lh", "n", "docs", "rid"))
+    recurring = of.groupBy("template", "n").agg(F.sum("docs").alias("docs"), F.min("rid").alias("head")).where(F.col("docs") >= _least(F.col("n")))
+    heads = cut(of.join(recurring.select("template", "head"), "template").select("leaf", "lh", "head"))
+    again = stored(found.join(small(heads), ["leaf", "lh"]).where("rid <> head").select("rid", "ln", "chars", "head"), "again")
     shared = again.groupBy("rid", "head").agg(F.sum("chars").alias("shared"))
     whole = found.groupBy("rid").agg(F.sum("chars").alias("total"))
-    copies = (
+    likely = (
         shared.join(whole, "rid").where(F.col("shared") >= COPY_SHARE * F.col("total")).drop("total")
         .join(whole.withColumnRenamed("rid", "head"), "head").where(F.col("shared") >= COPY_SHARE * F.col("total"))
         .select("rid", "head")
     )
-    return again.join(small(cut(copies)), ["rid", "head"], "left_anti").select("rid", "ln", "head")
+    copies = cut(near_copies(docs, cut(likely)))
+    return again.join(small(copies), ["rid", "head"], "left_anti").select("rid", "ln", "head")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents without lines whose template recurs; the columns of documents, with n_chars of the new text.
 
     A tree of fixed depth takes a line by its token count and its DEPTH leading tokens, where tokens with digits are
-    variable; within a leaf, a token that fewer than MIN_DOCS documents have at its place is variable too. A template
-    recurs if MIN_DOCS documents have it and at least CONSTANT of its tokens don't vary. The first of these documents
-    keeps its lines, the others lose theirs, but for lines that a copy (COPY_SHARE of both documents) has from its original.
-
-    Lines of fewer than MIN_TOKENS tokens stay. A document that loses all its text goes; null and blank texts stay as
-    they are. Repeated rows count as documents; an empty table gives an empty result; columns beyond those of documents
-    are left out.
+    variable; within a leaf, a token that too few documents (LEAST_DOCS) have at its place is variable too. A template
+    recurs if enough documents have it and at least CONSTANT of its tokens don't vary. The first of these documents (in
+    the order of the table's files, so there are no ties) keeps its lines, the others lose theirs, but for lines that a
+    near-duplicate, by near-dedup's own test, has from its original.
+
+    Lines without a token stay. A document that loses all its text goes; null and blank texts stay as they are. A text
+    counts whole, however long, and so does each of its lines. Repeated rows count as documents; an empty table gives an
+    empty result; columns beyond those of documents are left out, whatever their names.
     """
     d = numbered(columns(docs))
     gone = cut(dropped(d).groupBy("rid").agg(F.sort_array(F.collect_set("ln")).alias("gone")))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    new = d.join(small(gone), "rid", "left").withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    new = new.where(F.col("gone").isNull() | (F.trim("kept") != ""))
+    new = d.join(small(gone), "rid", "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    new = new.withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")))
+    new = new.where(F.col("gone").isNull() | F.col("kept").rlike(f"[^{_S}]"))
     return new.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("bigint").alias("n_chars"))
 
 
@@ -134,27 +130,34 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.join(ids, "rid").join(ids.select(F.col("rid").alias("head"), F.col("doc_id").alias("kept_in")), "head").select("doc_id", F.col("ln").alias("line"), "kept_in")
 
 
+def _least_sql(n: str) -> str:
+    return f"(CASE {' '.join(f'WHEN {n} >= {k} THEN {docs}' for k, docs in LEAST_DOCS)} END)"
+
+
 _SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ln FROM d),
-l1 AS (SELECT doc_id, ln, length(line) AS chars, list_filter(string_split_regex(line, '[\s\x{{85}}\p{{Z}}]+'), lambda t: t <> '') AS w FROM l0),
-l AS (SELECT doc_id, ln, chars, len(w) AS n, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '\p{{Nd}}') THEN '{_MASK}' ELSE t END) AS w FROM l1 WHERE len(w) >= {MIN_TOKENS}),
+l1 AS (SELECT doc_id, ln, length(line) AS chars, list_filter(string_split_regex(line, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda t: t <> '') AS w FROM l0),
+l2 AS (SELECT doc_id, ln, chars, len(w) AS n, w, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '\p{{Nd}}') THEN '{_MASK}' ELSE t END) AS m FROM l1 WHERE len(w) > 0),
+l AS (SELECT doc_id, ln, chars, n, CASE WHEN len(list_filter(m, lambda t: t <> '{_MASK}')) >= {CONSTANT} * n THEN m ELSE w END AS w FROM l2),
 k AS (SELECT w, n, w[1:{DEPTH}] AS lead, count(DISTINCT doc_id) AS docs, min(doc_id) AS head FROM l GROUP BY ALL),
-f AS (SELECT n, lead FROM k GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
+f AS (SELECT n, lead FROM k GROUP BY ALL HAVING sum(docs) >= {_least_sql('n')}),
 kl AS (SELECT k.*, row_number() OVER () AS id FROM k JOIN f USING (n, lead)),
 p AS (SELECT id, n, lead, docs, generate_subscripts(w, 1) AS place, unnest(w) AS token FROM kl),
-s AS (SELECT n, lead, place, token FROM p GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
-one AS (SELECT n, lead FROM kl GROUP BY ALL HAVING count(*) = 1),
+s AS (SELECT n, lead, place, token FROM p WHERE token <> '{_MASK}' GROUP BY ALL HAVING sum(docs) >= {_least_sql('n')}),
 t AS (SELECT id, list(struct_pack(place, token) ORDER BY place) AS same FROM p JOIN s USING (n, lead, place, token) GROUP BY id),
-tp AS (SELECT kl.w, kl.docs, kl.head, kl.n, kl.lead, t.same FROM kl JOIN t USING (id)
-       WHERE len(t.same) >= {CONSTANT} * kl.n OR (kl.n, kl.lead) IN (SELECT (n, lead) FROM one)),
-r AS (SELECT n, lead, same, min(head) AS head FROM tp GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
+tp AS (SELECT kl.w, kl.docs, kl.head, kl.n, kl.lead, t.same FROM kl JOIN t USING (id) WHERE len(t.same) >= {CONSTANT} * kl.n),
+r AS (SELECT n, lead, same, min(head) AS head FROM tp GROUP BY ALL HAVING sum(docs) >= {_least_sql('n')}),
 h AS (SELECT tp.w, r.head FROM tp JOIN r USING (n, lead, same)),
 again AS (SELECT l.doc_id, l.ln, l.chars, h.head FROM l JOIN h USING (w) WHERE l.doc_id <> h.head),
 whole AS (SELECT doc_id, sum(chars) AS total FROM l GROUP BY doc_id),
 sh AS (SELECT doc_id, head, sum(chars) AS shared FROM again GROUP BY ALL),
-copy AS (SELECT sh.doc_id, sh.head FROM sh JOIN whole a ON a.doc_id = sh.doc_id JOIN whole b ON b.doc_id = sh.head
-         WHERE shared >= {COPY_SHARE} * a.total AND shared >= {COPY_SHARE} * b.total)
+likely AS MATERIALIZED (SELECT sh.doc_id, sh.head FROM sh JOIN whole a ON a.doc_id = sh.doc_id JOIN whole b ON b.doc_id = sh.head
+         WHERE shared >= {COPY_SHARE} * a.total AND shared >= {COPY_SHARE} * b.total),
+cand AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM likely UNION ALL SELECT head FROM likely)),
+fp AS MATERIALIZED ({simhash.fingerprint_sql('cand')}),
+copy AS (SELECT x.doc_id, x.head FROM likely x JOIN fp a ON a.doc_id = x.doc_id JOIN fp b ON b.doc_id = x.head
+         WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= {simhash.NEAR})
 SELECT doc_id, CAST(ln AS INT) AS line, head AS kept_in FROM again ANTI JOIN copy USING (doc_id, head)"""
 
 SQL = {"op6_line_dedup": _SQL}

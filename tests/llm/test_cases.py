@@ -139,3 +139,65 @@ def test_near_duplicates_of_any_size(spark):
     sizes = [max(x[a][1], x[b][1]) / min(x[a][1], x[b][1]) for a, b in want]
     assert sum(s > 1.08 for s in sizes) >= 5
     assert {(p["a"], p["b"]) for p in simhash.near_pairs(simhash.cut(simhash.fingerprints(d))).collect()} == want
+
+
+def planted(spark):
+    """Documents with a benchmark passage, exact copies and shared lines among plain ones."""
+    r = random.Random(11)
+    w = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for i in range(60):
+        text = "\n".join(" ".join(r.choice(w) for _ in range(12)) for _ in range(4))
+        if i % 6 == 0:
+            text += "\n" + ROWS[0][1]
+        if i % 5 == 4:
+            text = rows[-1][1]
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+    return rows
+
+
+INPUTS = {
+    "splits": lambda s, path: s.read.parquet(path),
+    "dropDuplicates": lambda s, path: s.read.parquet(path).dropDuplicates(["doc_id"]),
+    "repartition": lambda s, path: s.read.parquet(path).repartition(5),
+    "orderBy": lambda s, path: s.read.parquet(path).orderBy("doc_id"),
+    "union": lambda s, path: s.read.parquet(path).where("doc_id < 20").unionByName(s.read.parquet(path).where("doc_id >= 20")),
+}
+
+
+@pytest.fixture(scope="module")
+def planted_files(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("planted") / "documents.parquet")
+    spark.createDataFrame(planted(spark), DOCS).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("kind", INPUTS)
+@pytest.mark.parametrize("name", ["lines", "simhash", "decontaminate"])
+def test_rows_keep_their_numbers(spark, planted_files, name, kind):
+    """Whatever the input is, and however its splits change while an operator reads it again, the kept rows are right."""
+    clean = {i for i, t, *_ in planted(spark) if ROWS[0][1] not in t}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cut = STAGES_MODULE[name].cut
+
+    def changing(df):
+        out = cut(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500" if spark.conf.get("spark.sql.files.maxPartitionBytes") != "1500" else before)
+        return out
+
+    try:
+        STAGES_MODULE[name].cut = changing
+        out = STAGES[name](spark, INPUTS[kind](spark, planted_files)).collect()
+    finally:
+        STAGES_MODULE[name].cut = cut
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    ids, texts = [r["doc_id"] for r in out], [r["text"] for r in out]
+    if name == "decontaminate":
+        assert set(ids) == clean
+    if name == "simhash":
+        assert len(ids) == 48 and len(set(texts)) == 48
+    if name == "lines":
+        assert sum(ROWS[0][1] in t for t in texts) - 1 <= sum(i % 6 == 0 and i % 5 == 3 for i in range(60)) * 2 and len(ids) == 60
+
+
+STAGES_MODULE = {"lines": lines, "simhash": simhash, "decontaminate": decontaminate}
