@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, numbered, small, stored, table, words
+from engramlake.llm.common import ChunkCoder, columns, cut, numbered, small, stored, table, word_codes
 
 #: Tokens of an exact phrase; a shorter item of SHORT tokens or more is one phrase.
 PHRASE, SHORT = 13, 5
@@ -21,10 +19,6 @@ ITEMS_A_PASS = 20_000
 ITEM_COLUMNS = (("item_id", "bigint"), ("text", "string"))
 
 
-def _term_bytes(chunk: str) -> bytes:
-    return b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words(chunk))
-
-
 def _segment(rids: list[int], codes: list[np.ndarray]) -> tuple:
     """One row of the index: the terms in order with their counts, and for each posting its document and position."""
     n = np.array([len(c) for c in codes])
@@ -47,7 +41,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        coder = ChunkCoder(_term_bytes)
+        coder = ChunkCoder(word_codes)
         rids, codes, held = [], [], 0
         for b in batches:
             out = []
@@ -102,13 +96,19 @@ class _Segment:
         return np.where(self.terms[at] == wanted, at, -1)
 
     def starts(self, place: int, offset: int) -> np.ndarray:
-        """For each posting, its document and its position less the offset, as one number in order."""
+        """For each posting, its document and its position less the offset, as one number in order.
+
+        Positions and offsets have 32 bits, so that a difference never reaches into another document's numbers.
+        """
         s = slice(self.start[place], self.end[place])
-        return self.doc[s].astype(np.int64) << 32 | (self.pos[s].astype(np.int64) - offset + (1 << 20))
+        return self.doc[s].astype(np.int64) << 34 | (self.pos[s].astype(np.int64) - offset + (1 << 33))
 
 
 def plan(items: list[tuple[int, np.ndarray]], df: dict[int, int]) -> tuple[list, list]:
-    """Phrases as (item, offsets rarest first) and near as (item, offsets of the rarest tokens, how many are needed)."""
+    """Phrases as (item, offsets rarest first) and near as (item, offsets of the rarest tokens, how many are needed).
+
+    Tokens that no document has tell nothing and count neither as rare nor as found.
+    """
     phrases, near = [], []
     for k, (_, c) in enumerate(items):
         if len(c) < SHORT:
@@ -118,8 +118,10 @@ def plan(items: list[tuple[int, np.ndarray]], df: dict[int, int]) -> tuple[list,
             part = np.arange(a, min(len(c), a + PHRASE))
             if seen[part].all():
                 phrases.append((k, part[np.lexsort((part, seen[part]))]))
-        rare = np.lexsort((np.arange(len(c)), seen))[:RARE]
-        near.append((k, rare, int(np.ceil(NEAR_SHARE * len(rare)))))
+        there = np.flatnonzero(seen)
+        rare, need = there[np.lexsort((there, seen[there]))][:RARE], int(np.ceil(NEAR_SHARE * min(RARE, len(c))))
+        if len(rare) >= need:
+            near.append((k, rare, need))
     return phrases, near
 
 
@@ -138,7 +140,7 @@ def _search(seg: _Segment, codes: list[np.ndarray], at: np.ndarray, first: np.nd
             if not len(s):
                 break
         for x in s:
-            got = found.setdefault((k, int(x >> 32)), [0, 0])
+            got = found.setdefault((k, int(x >> 34)), [0, 0])
             got[0] += 1
     for k, offsets, need in near:
         p = here[k][offsets]
@@ -153,7 +155,7 @@ def _search(seg: _Segment, codes: list[np.ndarray], at: np.ndarray, first: np.nd
         for i in np.flatnonzero(upto - np.arange(len(s)) >= need):
             n = len(set(slot[i : upto[i]].tolist()))
             if n >= need:
-                got = found.setdefault((k, int(s[i] >> 32)), [0, 0])
+                got = found.setdefault((k, int(s[i] >> 34)), [0, 0])
                 got[1] = max(got[1], n)
     return [(int(seg.rids[d]), k, n, m) for (k, d), (n, m) in found.items()]
 
@@ -167,7 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     index = build_index(docs)
     out = None
-    encode = ChunkCoder(_term_bytes)
+    encode = ChunkCoder(word_codes)
     items = [(r["item_id"], encode.array(r["text"], np.uint64)) for r in columns(benchmark, ITEM_COLUMNS).orderBy("item_id", "text").toLocalIterator()]
     for i in range(0, max(1, len(items)), ITEMS_A_PASS):
         some = items[i : i + ITEMS_A_PASS]
@@ -198,11 +200,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Method: an inverted index with positions over all tokens of docs (lower-case words); for each item, each window of
     PHRASE tokens is looked up from its rarest term on, lists being shifted by the terms' offsets and intersected, which
-    gives exact phrases; RARE rarest tokens of which NEAR_SHARE keep their offsets to within SLACK are a proximity match.
+    gives exact phrases; NEAR_SHARE of RARE tokens, the item's rarest that the corpus has, whose offsets agree to within
+    SLACK are a proximity match. Tokens as rare as one another count in the item's order.
 
-    A null or empty text matches nothing, and neither does an item of fewer than SHORT tokens. Repeated rows are each
-    judged, as are repeated items; empty tables on either side leave the documents as they are; columns beyond those of
-    documents are left out.
+    A null or empty text matches nothing, and neither does an item of fewer than SHORT tokens. A text counts whole, however
+    long: it is one segment's. Repeated rows are each judged, as are repeated items; empty tables on either side leave
+    the documents as they are; columns beyond those of documents are left out, whatever their names.
     """
     d = numbered(columns(docs))
     hit = cut(matches(d, benchmark).select("rid").distinct())
@@ -227,7 +230,7 @@ ph AS (SELECT item_id, n, unnest(range(greatest(1, n - {PHRASE} + 1))) AS a FROM
 ex AS (SELECT doc_id, item_id, a, start FROM hits JOIN ph USING (item_id) WHERE off >= a AND off < a + {PHRASE}
        GROUP BY doc_id, item_id, a, start HAVING count(*) = least({PHRASE}, any_value(ph.n))),
 e AS (SELECT doc_id, item_id, count(*) AS phrases FROM ex GROUP BY ALL),
-r AS (SELECT i.item_id, i.off, i.term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), off) AS slot, n FROM i LEFT JOIN f USING (term)),
+r AS (SELECT i.item_id, i.off, i.term, row_number() OVER (PARTITION BY item_id ORDER BY df, off) AS slot, n FROM i JOIN f USING (term)),
 s AS (SELECT doc_id, item_id, slot, pos - off AS start, ceil({NEAR_SHARE} * least({RARE}, n)) AS need FROM p JOIN r USING (term) WHERE slot <= {RARE}),
 m AS (SELECT a.doc_id, a.item_id, a.slot, a.start, count(DISTINCT b.slot) AS c FROM s a JOIN s b
       ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.start BETWEEN a.start AND a.start + {SLACK}

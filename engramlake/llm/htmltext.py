@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import zlib
@@ -11,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from engramlake.llm.common import columns, cut, numbered, small, stored, table
+from engramlake.llm.common import columns, cut, numbered, small, stored, table, word_code
 
 PAGE_COLUMNS = (("page_id", "bigint"), ("url", "string"), ("html", "string"))
 #: Cells of a table of common lengths that is held at once.
@@ -34,8 +33,8 @@ def text_lines(page: str | None) -> list[str]:
 
 
 def line_codes(lines: list[str]) -> np.ndarray:
-    """32-bit codes of lines: two different lines of two pages are taken for one about once in four billion."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest() for x in lines), np.int32)
+    """64-bit codes of lines, which are only compared within a pair of pages."""
+    return np.frombuffer(b"".join(map(word_code, lines)), np.int64)
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,7 +107,7 @@ def paths_of(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield b.drop(columns="html").assign(codes=[line_codes(text_lines(h)) for h in b["html"]])
 
-    each = pages.select("rid", "page_id", "host", "path", "html").mapInPandas(run, "rid bigint, page_id bigint, host string, path string, codes array<int>")
+    each = pages.select("rid", "page_id", "host", "path", "html").mapInPandas(run, "rid bigint, page_id bigint, host string, path string, codes array<bigint>")
     return each.groupBy("host", "path").agg(F.min_by("codes", F.struct("page_id", "rid")).alias("codes"))
 
 
@@ -152,8 +151,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     scheme, query or fragment) aren't each other's peers; the one of least page_id stands for the path.
 
     A page alone in its host keeps all lines. A null or empty page, or one without text, has text ''. A null url is a
-    host of its own, with one path. Repeated rows each get a result; an empty table gives an empty result; columns beyond
-    those of pages are left out.
+    host of its own, with one path. On a tie of two neighbours the former is the peer. A page counts whole, however long:
+    a table of common lengths that would be too large is halved. Repeated rows each get a result; an empty table gives an
+    empty result; columns beyond those of pages are left out, whatever their names.
     """
     placed = with_place(numbered(columns(pages, PAGE_COLUMNS)))
     peers = neighbours(paths_of(placed))
@@ -167,7 +167,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             text, lost, total = [], [], []
             for packed, peer in zip(b["lines"], b["peer"]):
                 own = [x for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if x]
-                drop = shared_lines(line_codes(own), np.asarray(peer, np.int32)) if peer is not None else np.zeros(len(own), bool)
+                drop = shared_lines(line_codes(own), np.asarray(peer, np.int64)) if peer is not None else np.zeros(len(own), bool)
                 text.append("\n".join(x for x, d in zip(own, drop) if not d))
                 lost.append(int(drop.sum()))
                 total.append(len(own))

@@ -116,8 +116,8 @@ def plain_matches(docs, items):
             continue
         n = min(len(item), decontaminate.PHRASE)
         phrases = [item[a : a + n] for a in range(len(item) - n + 1)]
-        rare = sorted(range(len(item)), key=lambda o: (df[item[o]], o))[: decontaminate.RARE]
-        need = math.ceil(decontaminate.NEAR_SHARE * len(rare))
+        rare = sorted((o for o, w in enumerate(item) if df[w]), key=lambda o: (df[item[o]], o))[: decontaminate.RARE]
+        need = math.ceil(decontaminate.NEAR_SHARE * min(decontaminate.RARE, len(item)))
         for d, doc in enumerate(map(words, docs)):
             exact = sum(doc[a : a + n] == p for p in phrases for a in range(len(doc) - n + 1))
             starts = [(a - o, s) for s, o in enumerate(rare) for a, w in enumerate(doc) if w == item[o]]
@@ -137,6 +137,8 @@ def test_index_finds_all_matches(spark):
         w = item.split()
         if k % 2:
             w.insert(len(w) // 2, "inserted")
+        if k % 5 == 0:
+            items[k] += " never seen in any of these documents"
         docs[k] += " " + " ".join(w)
     d = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "rid long, text string").repartition(3)
     b = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
@@ -383,19 +385,66 @@ def test_near_words_are_counted_once_a_passage(spark):
     assert got == {(toxicity.word_code(a), toxicity.word_code(b)): len(v) for (a, b), v in want.items() if len(v) >= toxicity.LEAST_NEAR}
 
 
+def plain_notices(text, all_templates):
+    """(license, position, words, cover) by trying every place for every template."""
+    w = words(text)
+    found = []
+    for name, template, phrases in all_templates:
+        t = words(template)
+        slack, least = licenses.slack(len(t)), math.ceil(licenses.COVER * len(t))
+        if not set(words(" ".join(phrases))) <= set(w):
+            continue
+        for s in range(-len(t), len(w)):
+            part = f" {' '.join(w[max(0, s - slack) : max(0, s + len(t) + slack)])} "
+            if all(f" {' '.join(words(p))} " in part for p in phrases):
+                near = sum(x in w[max(0, s + p - slack) : max(0, s + p + slack + 1)] for p, x in enumerate(t))
+                just = sum(0 <= s + p < len(w) and w[s + p] == x for p, x in enumerate(t))
+                if near >= least and just:
+                    found.append((name, s, len(t), near, just))
+    out = []
+    for x in sorted(found, key=lambda x: (-x[2], -x[3], -x[4], x[1], x[0])):
+        if all(x[1] + x[2] <= y[1] or y[1] + y[2] <= x[1] for y in out):
+            out.append(x)
+    return sorted((n, max(0, s), k, round(c / k, 9)) for n, s, k, c, _ in out)
+
+
 def test_licenses_by_searching_every_place(spark, documents):
-    texts = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    full = next(t for n, t, _ in licenses.TEMPLATES if n == "GPL-2.0-or-later")
-    texts += [(9001, "intro text\n" + full.upper() + "\nmore"), (9002, full.replace("redistribute", "share")), (9003, "the terms of the license, version 2 of any"), (9004, "(c) me. Released under the MIT License! All rights  reserved")]
+    r = random.Random(6)
+    texts = [(x["doc_id"], x["text"]) for x in documents.collect()]
+    notice = {n: t for n, t, _ in reversed(licenses.NOTICES)}
+    gpl, mit, bsd2, bsd3 = notice["GPL-2.0-or-later"], next(t for n, t, _ in licenses.NOTICES if n == "MIT" and "hereby" in t), next(t for n, t, _ in licenses.NOTICES if n == "BSD-2-Clause" and len(t) > 99), next(t for n, t, _ in licenses.NOTICES if n == "BSD-3-Clause" and len(t) > 99)
+
+    def worn(text):
+        w = text.split()
+        for _ in range(len(w) // 12):
+            w[r.randrange(len(w))] = r.choice(["other", "the", "software"])
+        w.insert(r.randrange(len(w)), "inserted")
+        return " ".join(w)
+
+    made = ["intro text\n" + gpl.upper() + "\nmore", gpl.replace("redistribute", "share"), "the terms of the license, version 2 of any", "(c) me. Released under the MIT License! All rights  reserved", bsd2, bsd3, f"{bsd2} and then {bsd3} {bsd2}", "All rights reserved. All rights reserved, x all rights reserved", "a file\nSPDX-License-Identifier: GPL-2.0-or-later\nSPDX-License-Identifier: MIT", mit + " " + gpl, " ".join([mit, *["granted free charge"] * 50, mit])]
+    made += [f"{worn(t)} some words between {worn(r.choice((gpl, mit, bsd2, bsd3)))}" for t in (gpl, mit, bsd2, bsd3) * 3]
+    texts += [(9000 + i, t) for i, t in enumerate(made)]
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
-    got = collections.defaultdict(set)
-    for r in licenses.scan(d).collect():
-        got[r["doc_id"]].add(r["license"])
-    assert got[9001] == got[9002] == {"GPL-2.0-or-later"} and 9003 not in got and got[9004] == {"MIT", "proprietary"}
-    short = {"Apache-2.0": "licensed under the apache license version 2 0", "MIT": "released under the mit license", "GPL-3.0": "this work is licensed under the gnu general public license version 3", "proprietary": "all rights reserved"}
-    for i, t in texts[:-4]:
-        s = f" {' '.join(words(t))} "
-        assert got.get(i, set()) == {n for n, p in short.items() if f" {p} " in s}, i
+    got = collections.defaultdict(list)
+    for x in licenses.scan(d).collect():
+        got[x["doc_id"]].append((x["license"], x["position"], x["words"], round(x["cover"], 9)))
+    for i, t in texts:
+        assert sorted(got[i]) == plain_notices(t, licenses.NOTICES), t[:200]
+    names = lambda k: [n for n, *_ in sorted(got[9000 + k], key=lambda x: x[1])]
+    assert names(0) == names(1) == ["GPL-2.0-or-later"] and names(2) == [] and names(3) == ["MIT", "proprietary"]
+    assert names(4) == ["BSD-2-Clause"] and names(5) == ["BSD-3-Clause"] and names(6) == ["BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause"]
+    assert names(7) == ["proprietary"] * 3 and names(8) == ["GPL-2.0-or-later", "MIT"] and names(9) == ["MIT", "GPL-2.0-or-later"] and names(10) == ["MIT", "MIT"]
+
+
+def test_full_license_texts(spark):
+    """Each full text is found as itself, with a sentence changed as well, and nothing else in the same place."""
+    texts = {n: t for n, t, _ in licenses.templates()[len(licenses.NOTICES) :]}
+    rows = [(i, f"some file\n\n{t}\n\nAll rights reserved" if i % 2 else t[:2000] + "a changed sentence here " + t[2040:], "en", "s", 0) for i, t in enumerate(t for t in texts.values() for _ in range(2))]
+    got = collections.defaultdict(list)
+    for x in licenses.scan(spark.createDataFrame(rows, DOCS)).collect():
+        got[x["doc_id"]].append(x["license"])
+    for i, name in enumerate(n for n in texts for _ in range(2)):
+        assert name in got[i] and ("proprietary" in got[i]) >= (i % 2), (name, got[i])
 
 
 def test_log_bilinear_model(spark):
