@@ -138,8 +138,11 @@ class ChunkCoder(dict):
             self[chunk] = value
         return value
 
+    def bytes(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, text.split())) if text else b""
+
     def array(self, text: str | None, dtype) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) if text else b"", dtype)
+        return np.frombuffer(self.bytes(text), dtype)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -51,23 +51,32 @@ def lines(docs: DataFrame, tokens: bool) -> DataFrame:
 
 
 def templates(docs: DataFrame, by_line: DataFrame) -> DataFrame:
-    """leaf, lh, template: the lines, of leaves that enough documents reach, whose template is constant enough.
+    """leaf, lh, n, docs, rid, template: the lines, of leaves that enough documents reach, whose template is constant enough.
 
     In a leaf with several lines, a token that too few documents have at its place is generalised; in a leaf with one
-    line there's nothing to generalise.
+    line, or for a line that has enough documents itself, there's nothing to generalise.
     """
-    leaves = by_line.groupBy("leaf", "n").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= _least(F.col("n")))
-    leaves = cut(leaves.select("leaf", "kinds"))
-    plain = by_line.join(leaves.where("kinds = 1"), "leaf", "left_semi").select("leaf", "lh", F.col("lh").alias("template"))
-    several = leaves.where("kinds > 1").select("leaf")
-    kinds = lines(docs, True).join(small(cut(several)), "leaf", "left_semi").groupBy("leaf", "lh").agg(F.max(F.array_join("tokens", " ")).alias("line"))
-    kinds = cut(kinds.join(by_line.select("leaf", "lh", "n", "docs"), ["leaf", "lh"]))
-    at = kinds.select("leaf", "lh", "n", "docs", F.posexplode(F.split("line", " ")).alias("place", "token")).where(F.col("token") != _MASK)
-    at = at.withColumn("token", F.xxhash64("token"))
-    known = at.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= _least(F.col("n"))).drop("support", "n")
-    part = F.xxhash64("place", "token").cast("decimal(38,0)")
-    shape = at.join(known, ["leaf", "place", "token"]).groupBy("leaf", "lh", "n").agg(F.count("*").alias("same"), F.sum(part).alias("code"))
-    return plain.unionByName(shape.where(F.col("same") >= CONSTANT * F.col("n")).select("leaf", "lh", F.xxhash64("leaf", "code").alias("template")))
+    leaves = by_line.groupBy("leaf", "n").agg(F.sum("docs").alias("reach"), F.count("*").alias("kinds")).where(F.col("reach") >= _least(F.col("n")))
+    kept = stored(by_line.join(leaves.select("leaf", "kinds"), "leaf"), "kept")
+    plain = kept.where("kinds = 1").select("leaf", "lh", "n", "docs", "rid", F.col("lh").alias("template"))
+    several = kept.where("kinds > 1")
+    wanted = small(cut(several.select("leaf").distinct()), 1_000_000)
+    text = lines(docs, True).join(wanted, "leaf", "left_semi").groupBy("leaf", "lh").agg(F.max(F.array_join("tokens", " ")).alias("line"))
+    kinds = stored(several.join(text, ["leaf", "lh"]), "lines")
+    # All lines of a leaf share the leading tokens, so those are known to be constant.
+    at = kinds.select("leaf", "lh", "n", "docs", "rid", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, F.greatest(F.col("n") - DEPTH, F.lit(0)))).alias("place", "token"))
+    at = at.where(F.col("token") != _MASK).withColumn("key", F.xxhash64("leaf", "place", "token"))
+    # A line's code is the sum of its constant tokens': the same for the same tokens at the same places.
+    part = F.col("key").cast("decimal(38,0)")
+    few = F.col("docs") < _least(F.col("n"))
+    whole = F.aggregate(F.transform(F.slice(F.split("line", " "), DEPTH + 1, F.greatest(F.col("n") - DEPTH, F.lit(0))), lambda t, i: F.when(t != _MASK, F.xxhash64("leaf", i, t).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))), F.lit(0).cast("decimal(38,0)"), lambda x, y: (x + y).cast("decimal(38,0)"))
+    known = at.groupBy("key").agg(F.sum("docs").alias("support"), F.min(_least(F.col("n"))).alias("least")).where("support >= least").select("key")
+    lead = F.size(F.filter(F.slice(F.split("line", " "), 1, DEPTH), lambda t: t != _MASK))
+    shape = at.where(few).select("leaf", "lh", "key").join(known, "key").groupBy("leaf", "lh").agg(F.count("*").alias("same"), F.sum(part).alias("code"))
+    varied = kinds.where(few).select("leaf", "lh", "n", "docs", "rid", lead.alias("lead")).join(shape, ["leaf", "lh"], "left")
+    varied = varied.where(F.coalesce("same", F.lit(0)) + F.col("lead") >= CONSTANT * F.col("n"))
+    named = varied.select("leaf", "lh", "n", "docs", "rid", F.coalesce("code", F.lit(0).cast("decimal(38,0)")).alias("code")).unionByName(kinds.where(~few).select("leaf", "lh", "n", "docs", "rid", whole.alias("code")))
+    return plain.unionByName(named.select("leaf", "lh", "n", "docs", "rid", F.xxhash64("leaf", "code").alias("template")))
 
 
 def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -85,7 +94,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     # A line in very many documents is counted by document first, so no task gets them all.
     by_line = found.select("leaf", "lh", "n", "rid").distinct().groupBy("leaf", "lh", "n").agg(F.count("*").alias("docs"), F.min("rid").alias("rid"))
     by_line = stored(by_line, "kinds")
-    of = cut(by_line.join(templates(docs, by_line), ["leaf", "lh"]).select("template", "leaf", "lh", "n", "docs", "rid"))
+    of = stored(templates(docs, by_line), "templates")
     recurring = of.groupBy("template", "n").agg(F.sum("docs").alias("docs"), F.min("rid").alias("head")).where(F.col("docs") >= _least(F.col("n")))
     heads = cut(of.join(recurring.select("template", "head"), "template").select("leaf", "lh", "head"))
     again = stored(found.join(small(heads), ["leaf", "lh"]).where("rid <> head").select("rid", "ln", "chars", "head"), "again")

@@ -2,196 +2,238 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, small, table, words
+from engramlake.llm.common import ChunkCoder, columns, cut, mix64, small, stored, table, word_code, word_codes
 
 #: English seed terms given by hand, beside those that the labels give; those that the corpus lacks don't count.
 TOXIC_SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "loser")
 #: Labelled documents looked at for seeds, for each language and label (about; all where there are fewer).
 LABELLED = 4000
-#: A seed's least log-likelihood ratio (G2) of toxic against clean documents, and the most seeds of a language.
-LEAST_G2, SEEDS = 14.0, 200
+#: A seed's labelled documents of its pole, at least; its least log-likelihood ratio (G2), or more where many words are tried; and a pole's most seeds.
+LEAST_DOCS, LEAST_G2, SEEDS = 3, 10.0, 200
 #: Words on either side that count as near.
 REACH = 10
 #: Times that two words have to be near for an edge, and least PPMI (bits) of one.
 LEAST_NEAR, LEAST_PPMI = 5, 3.0
-#: A walk's chance to go back to its seed, and its steps.
-RESTART, STEPS = 0.3, 20
-#: Share of the heaviest seed's weight that a word needs to be in the lexicon.
+#: A walk's chance to go back to its seeds, and its steps.
+RESTART, STEPS = 0.3, 8
+#: Share of the heaviest word's weight that a word needs to be in the lexicon, and to have its own edges looked up.
 LEAST_WEIGHT = 0.05
 #: A document's score from which it is toxic: lexicon weight per SCALE words, SCALE at least.
 TOXIC, SCALE = 0.3, 100
 #: Share of a language's labelled clean documents that may reach its least toxic score.
 FALSE = 0.02
+#: Pairs of near words that a task holds.
+_HELD = 1 << 20
 
 
-def word_code(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and codes, the 64-bit codes of all words in order: written once, for all passes over the corpus."""
 
+    def run(batches):
+        coder = ChunkCoder(word_codes)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang": b["lang"], "codes": [coder.bytes(t) for t in b["text"]]})
 
-def _word_bytes(chunk: str) -> bytes:
-    return b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words(chunk))
+    return stored(columns(docs).select("doc_id", "lang", "text").mapInPandas(run, "doc_id bigint, lang string, codes binary"), "words")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """code, n: how often each word comes in all documents, counted ahead within a partition."""
+def word_counts(enc: DataFrame) -> DataFrame:
+    """lang, code, n: how often each word comes in all documents of a language, counted ahead in each task."""
 
     def run(batches):
-        coder = ChunkCoder(_word_bytes)
         for b in batches:
-            codes, n = np.unique(np.concatenate([np.empty(0, np.int64), *(coder.array(t, np.int64) for t in b["text"])]), return_counts=True)
-            yield pd.DataFrame({"code": codes, "n": n})
+            for lang, own in b.groupby("lang", sort=False):
+                codes, n = np.unique(np.frombuffer(b"".join(own["codes"]), np.int64), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    return docs.select("text").mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return enc.where("lang IS NOT NULL").select("lang", "codes").mapInPandas(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, lang, label: a sample of the labelled documents, LABELLED for each language and label, by a hash of doc_id."""
+def labelled(enc: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, label, codes: a sample of the labelled documents, LABELLED for each language and label, by a hash of doc_id."""
     known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    named = cut(docs.where("lang IS NOT NULL").select("doc_id", "lang").join(known, "doc_id"))
+    named = cut(enc.where("lang IS NOT NULL").select("doc_id", "lang").join(known, "doc_id"))
     share = named.groupBy("lang", "label").agg(F.least(F.lit(1.0), F.lit(float(LABELLED)) / F.count("*")).alias("share"))
-    picked = cut(named.join(F.broadcast(share), ["lang", "label"]).where("pmod(xxhash64(doc_id), 1000000) < share * 1000000").select("doc_id", "label").distinct())
-    return cut(docs.select("doc_id", "text", "lang").join(small(picked), "doc_id").where("lang IS NOT NULL"))
+    picked = named.join(small(cut(share)), ["lang", "label"]).where("pmod(xxhash64(doc_id), 1000000) < share * 1000000").select("doc_id", "label").distinct()
+    return cut(enc.where("lang IS NOT NULL").join(small(cut(picked)), "doc_id").select("doc_id", "lang", "label", "codes"))
 
 
-def label_seeds(each: DataFrame) -> dict[str, np.ndarray]:
-    """lang: codes of the words that come in toxic documents more often than chance has it. each: as labelled() gives it.
+def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """lang: codes of the words that toxic documents have more often than chance has it, and of those that clean ones have.
 
-    A document counts a word once, and documents that have it in one surrounding count once, so that copies don't.
+    A document counts a word once, and documents that have it in one surrounding count once, so that copies don't. The
+    least G2 is 2 ln of the number of words tried, if that is more: then about one word of a language gets in by chance.
+    sample: as labelled() gives it, which bounds what comes to the driver.
     """
 
     def run(batches):
-        coder = ChunkCoder(_word_bytes)
         for b in batches:
-            for lang, label, text in zip(b["lang"], b["label"], b["text"]):
-                c = coder.array(text, np.int64)
-                padded = np.r_[0, c, 0].view(np.uint64)
-                around = mix64(padded[:-2] + mix64(padded[2:])).view(np.int64)
+            out = []
+            for lang, label, codes in zip(b["lang"], b["label"], b["codes"]):
+                c = np.frombuffer(codes, np.int64)
+                around = _around(c)
                 order = np.lexsort((around, c))
-                codes, first = np.unique(c[order], return_index=True)
-                yield pd.DataFrame({"lang": lang, "label": label, "code": codes, "around": around[order][first]})
+                code, first = np.unique(c[order], return_index=True)
+                out.append(pd.DataFrame({"lang": lang, "label": label, "code": code, "around": around[order][first]}))
+                if sum(map(len, out)) >= _HELD:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
 
-    rows = each.select("lang", "label", "text").mapInPandas(run, "lang string, label int, code bigint, around bigint")
+    rows = sample.select("lang", "label", "codes").mapInPandas(run, "lang string, label int, code bigint, around bigint")
     distinct = lambda label: F.count_distinct(F.when(F.col("label") == label, F.col("around")))
-    found = rows.groupBy("lang", "code").agg(distinct(1).alias("t"), distinct(0).alias("n")).where("t >= 3")
-    sizes = {(r["lang"], r["label"]): r["count"] for r in each.groupBy("lang", "label").count().collect()}
-    out: dict[str, list] = {}
-    for r in found.where("t > n").collect():
-        nt, nn = sizes.get((r["lang"], 1), 0), sizes.get((r["lang"], 0), 0)
-        g2 = _g2(r["t"], r["n"], nt, nn)
-        if nn and g2 >= LEAST_G2:
-            out.setdefault(r["lang"], []).append((-g2, r["code"]))
-    return {k: np.array([c for _, c in sorted(v)[:SEEDS]], np.int64) for k, v in sorted(out.items())}
-
-
-def _g2(t: int, n: int, nt: int, nn: int) -> float:
-    """Log-likelihood ratio of a word in t of nt toxic and n of nn clean documents; 0 if the toxic have it no more often."""
+    found = rows.groupBy("lang", "code").agg(distinct(1).alias("t"), distinct(0).alias("n")).where(f"t >= {LEAST_DOCS} OR n >= {LEAST_DOCS}").toPandas()
+    sizes = {(r["lang"], r["label"]): r["count"] for r in sample.groupBy("lang", "label").count().collect()}
+    out = {}
+    for lang, g in found.groupby("lang"):
+        nt, nn = sizes.get((lang, 1), 0), sizes.get((lang, 0), 0)
+        if nt and nn:
+            g2 = _g2(g["t"].to_numpy(float), g["n"].to_numpy(float), nt, nn)
+            code, poles = g["code"].to_numpy(np.int64), []
+            for sign, pole in ((1, "t"), (-1, "n")):
+                tried = (g[pole] >= LEAST_DOCS).to_numpy()
+                ok = np.flatnonzero(tried & (sign * g2 >= max(LEAST_G2, 2 * math.log(max(1, tried.sum())))))
+                poles.append(code[ok[np.lexsort((code[ok], -sign * g2[ok]))][:SEEDS]])
+            out[lang] = tuple(poles)
+    return out
+
+
+def _g2(t: np.ndarray, n: np.ndarray, nt: int, nn: int) -> np.ndarray:
+    """Log-likelihood ratio of words in t of nt toxic and n of nn clean documents, below 0 where the clean have them more often."""
     p = (t + n) / (nt + nn)
-    if t <= p * nt:
-        return 0.0
-    cells = ((t, p * nt), (n, p * nn), (nt - t, (1 - p) * nt), (nn - n, (1 - p) * nn))
-    return 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+    out = np.zeros(len(t))
+    for o, e in ((t, p * nt), (n, p * nn), (nt - t, (1 - p) * nt), (nn - n, (1 - p) * nn)):
+        out += np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    return 2 * np.maximum(out, 0) * np.where(t > p * nt, 1, -1)
 
 
-def near_counts(docs: DataFrame, terms: np.ndarray, both: bool) -> DataFrame:
-    """a, b, n: how often b is within REACH words of a term a; with both, only for terms b.
+def _around(c: np.ndarray) -> np.ndarray:
+    """For each word, a hash of the two beside it."""
+    padded = np.r_[0, c, 0].view(np.uint64)
+    return mix64(padded[:-2] + mix64(padded[2:])).view(np.int64)
+
+
+def near_counts(enc: DataFrame, terms: dict[str, np.ndarray]) -> DataFrame:
+    """lang, a, b, n: how often b is within REACH words of a, one of the language's terms; LEAST_NEAR at least.
 
     Passages that are copied count once: n is the number of different pairs of words around b.
     """
-    terms = np.sort(terms)
+    terms = {k: np.sort(v) for k, v in terms.items() if len(v)}
 
     def run(batches):
-        coder = ChunkCoder(_word_bytes)
         for b in batches:
-            out = []
-            for text in b["text"]:
-                c = coder.array(text, np.int64)
-                if not len(c):
+            out, n = {}, 0
+            for lang, codes in zip(b["lang"], b["codes"]):
+                own, c = terms.get(lang), np.frombuffer(codes, np.int64)
+                if own is None or not len(c):
                     continue
-                is_term = terms[np.minimum(np.searchsorted(terms, c), len(terms) - 1)] == c
-                at = np.flatnonzero(is_term)
-                if not len(at):
-                    continue
-                i = np.repeat(at, 2 * REACH)
-                j = i + np.tile(np.r_[-REACH:0, 1 : REACH + 1], len(at))
-                ok = (j >= 0) & (j < len(c))
-                i, j = i[ok], j[ok]
-                ok = (c[i] != c[j]) & (is_term[j] | (not both))
-                i, j = i[ok], j[ok]
-                padded = np.r_[0, c, 0].view(np.uint64)
-                around = mix64(padded[j] + mix64(padded[j + 2])).view(np.int64)
-                out.append(np.stack([c[i], c[j], around], 1))
-            if out:
-                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b", "around"])
-
-    each = docs.select("text").mapInPandas(run, "a bigint, b bigint, around bigint").distinct()
-    return each.groupBy("a", "b").agg(F.count("*").alias("n")).where(f"n >= {LEAST_NEAR}")
-
-
-def ppmi(pairs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """a, b, weight: pairs with what they are nearer than chance, log2 of the ratio; those under LEAST_PPMI are left out."""
-    ca, cb = counts.select(F.col("code").alias("a"), F.col("n").alias("na")), counts.select(F.col("code").alias("b"), F.col("n").alias("nb"))
-    weight = F.log2(F.col("n") * F.lit(float(total)) / (F.lit(2.0 * REACH) * F.col("na") * F.col("nb")))
-    return pairs.join(ca, "a").join(cb, "b").select("a", "b", weight.alias("weight")).where(f"weight >= {LEAST_PPMI}")
-
-
-def walk(edges: pd.DataFrame, seeds: np.ndarray) -> dict[int, float]:
-    """Each word's share of the time that random walks with restart from the seeds spend at it, the most frequent being 1."""
-    nodes = np.unique(np.concatenate([edges["a"].to_numpy(np.int64), edges["b"].to_numpy(np.int64), seeds.astype(np.int64)]))
-    a, b, w = np.searchsorted(nodes, edges["a"]), np.searchsorted(nodes, edges["b"]), edges["weight"].to_numpy(float)
-    out = np.bincount(a, w, len(nodes))
-    start = np.isin(nodes, seeds) / max(1, len(seeds))
-    p = start.copy()
+                at = np.flatnonzero(own[np.minimum(np.searchsorted(own, c), len(own) - 1)] == c)
+                for s in range(0, len(at), _HELD // (2 * REACH)):
+                    i = np.repeat(at[s : s + _HELD // (2 * REACH)], 2 * REACH)
+                    j = i + np.tile(np.r_[-REACH:0, 1 : REACH + 1], len(i) // (2 * REACH))
+                    ok = (j >= 0) & (j < len(c))
+                    i, j = i[ok], j[ok]
+                    ok = c[i] != c[j]
+                    i, j = i[ok], j[ok]
+                    out.setdefault(lang, []).append(np.stack([c[i], c[j], _around(c)[j]], 1))
+                    n += len(i)
+                    if n >= _HELD:
+                        yield from _distinct(out)
+                        out, n = {}, 0
+            yield from _distinct(out)
+
+    each = enc.where(F.col("lang").isin(list(terms))).select("lang", "codes").mapInPandas(run, "lang string, a bigint, b bigint, around bigint").distinct()
+    return each.groupBy("lang", "a", "b").agg(F.count("*").alias("n")).where(f"n >= {LEAST_NEAR}")
+
+
+def _distinct(held: dict[str, list]):
+    for lang, parts in held.items():
+        x = np.concatenate(parts)
+        yield pd.DataFrame(x[np.unique(mix64(mix64(mix64(x[:, 0].view(np.uint64)) + x[:, 1].view(np.uint64)) + x[:, 2].view(np.uint64)), return_index=True)[1]], columns=["a", "b", "around"]).assign(lang=lang)[["lang", "a", "b", "around"]]
+
+
+def ppmi(pairs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """lang, a, b, weight: pairs with what they are nearer than chance, log2 of the ratio; those under LEAST_PPMI are left out."""
+    ca, cb = counts.select("lang", F.col("code").alias("a"), F.col("n").alias("na")), counts.select("lang", F.col("code").alias("b"), F.col("n").alias("nb"))
+    weight = F.log2(F.col("n") * F.col("total") / (F.lit(2.0 * REACH) * F.col("na") * F.col("nb")))
+    return pairs.join(small(totals), "lang").join(ca, ["lang", "a"]).join(cb, ["lang", "b"]).select("lang", "a", "b", weight.alias("weight")).where(f"weight >= {LEAST_PPMI}")
+
+
+def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """lang, code, toxic, clean: the share of either pole's walks that is at a word after STEPS steps.
+
+    A walk goes to a near word by weight, or with RESTART back to a seed; at a word without edges it ends. start: lang,
+    code, toxic, clean, where either pole's shares add up to 1. Each step is a join and a sum over the edges.
+    """
+    out = edges.groupBy("lang", "a").agg(F.sum("weight").alias("out"))
+    step = small(cut(edges.join(out, ["lang", "a"]).select("lang", F.col("a").alias("code"), "b", (F.col("weight") / F.col("out")).alias("p"))))
+    at = start
     for _ in range(STEPS):
-        flow = np.bincount(b, p[a] * w / out[a], len(nodes)) if len(a) else np.zeros(len(nodes))
-        p = RESTART * start + (1 - RESTART) * (flow + start * max(0.0, 1 - flow.sum()))
-    top = p.max() if len(p) else 1
-    return {int(n): float(x / top) for n, x in zip(nodes, p) if x >= LEAST_WEIGHT * top}
+        moved = at.join(step, ["lang", "code"]).select("lang", F.col("b").alias("code"), *[((1 - RESTART) * F.col(c) * F.col("p")).alias(c) for c in ("toxic", "clean")])
+        again = start.select("lang", "code", *[(RESTART * F.col(c)).alias(c) for c in ("toxic", "clean")])
+        at = moved.unionByName(again).groupBy("lang", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return at
 
 
-def induce(docs: DataFrame, seeds: tuple[str, ...] | np.ndarray = TOXIC_SEEDS) -> dict[int, float]:
-    """word_code: polarity weight, from all documents; seeds are words, or their codes.
+def induce(enc: DataFrame, seeds: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, dict[int, float]]:
+    """lang: word code: polarity, from all documents of the language; seeds are codes of toxic and of clean words.
 
-    The graph's nodes are the seeds and all words with an edge to one; its edges are among these. So the walks' matrix
-    grows with the words that keep company with seeds, and the counting with the corpus.
+    Polarity is a word's share of the toxic walks less that of the clean ones, each as a part of the pole's greatest share.
+    The graph is followed from the seeds outwards: as long as a word whose share is LEAST_WEIGHT of the greatest hasn't had
+    its own edges looked up, they are, and the walks go again. As shares add up to 1 and the greatest is at least
+    RESTART / SEEDS, these are at most SEEDS / (LEAST_WEIGHT * RESTART) words for each pole, however large the corpus; only
+    they come to the driver.
     """
-    counts = cut(word_counts(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    want = seeds if isinstance(seeds, np.ndarray) else np.array([word_code(s) for s in seeds], np.int64)
-    spark = docs.sparkSession
-    there = counts.join(F.broadcast(spark.createDataFrame([(int(x),) for x in want], "code bigint")), "code").select("code").collect()
-    found = np.array([r["code"] for r in there], np.int64)
-    if not len(found):
+    spark = enc.sparkSession
+    counts = stored(word_counts(enc), "counts")
+    totals = cut(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")))
+    given = [(k, int(c), pole) for k, poles in seeds.items() for pole, codes in zip(("toxic", "clean"), poles) for c in codes]
+    given = spark.createDataFrame(given, "lang string, code bigint, pole string")
+    there = given.join(counts, ["lang", "code"]).select("lang", "code", "pole").collect() if seeds else []
+    if not there:
         return {}
-    first = ppmi(near_counts(docs, found, False), counts, total).select(F.col("b").alias("code")).distinct().collect()
-    terms = np.unique(np.r_[found, np.array([r["code"] for r in first], np.int64)])
-    some = counts.join(small(cut(spark.createDataFrame([(int(x),) for x in terms], "code bigint"))), "code")
-    edges = ppmi(near_counts(docs, terms, True), cut(some), total).toPandas()
-    return walk(edges.sort_values(["a", "b"]), found)
-
-
-def lexicons(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], dict[str, dict[int, float]], dict[str, float]]:
-    """The lexicon for a document of any other language, all of them together; each language's own; and its least toxic score.
-
-    A language's words are counted in its own documents: in all of them, two words of one language are always nearer than
-    chance has it. A least score is TOXIC, or a higher one by the labelled sample (_least).
-    """
-    sample = labelled(docs, labels)
+    sizes: dict = {}
+    for r in there:
+        sizes[r["lang"], r["pole"]] = sizes.get((r["lang"], r["pole"]), 0) + 1
+    share = lambda r, pole: 1 / sizes[r["lang"], pole] if r["pole"] == pole else 0.0
+    start = cut(spark.createDataFrame([(r["lang"], r["code"], share(r, "toxic"), share(r, "clean")) for r in there], "lang string, code bigint, toxic double, clean double"))
+    known: dict[str, set] = {}
+    edges = None
+    while True:
+        new: dict[str, list] = {}
+        for r in there:
+            if r["code"] not in known.setdefault(r["lang"], set()):
+                known[r["lang"]].add(r["code"])
+                new.setdefault(r["lang"], []).append(r["code"])
+        if not new:
+            return {k: {r["code"]: r["weight"] for r in there if r["lang"] == k and abs(r["weight"]) >= LEAST_WEIGHT} for k in known}
+        found = stored(ppmi(near_counts(enc, {k: np.array(v, np.int64) for k, v in new.items()}), counts, totals), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        at = cut(walk(edges, start))
+        top = at.groupBy("lang").agg(F.max("toxic").alias("mt"), F.max("clean").alias("mc"))
+        of = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(0.0)
+        at = at.join(small(cut(top)), "lang").select("lang", "code", of("toxic", "mt").alias("t"), of("clean", "mc").alias("c"))
+        there = at.where(f"greatest(t, c) >= {LEAST_WEIGHT}").select("lang", "code", (F.col("t") - F.col("c")).alias("weight")).collect()
+
+
+def lexicons(enc: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[int, float]], dict[str, float]]:
+    """Each language's lexicon and its least toxic score, which is TOXIC or a higher one by the labelled sample (_least)."""
+    sample = labelled(enc, labels)
     seeds = label_seeds(sample)
-    seeds["en"] = np.union1d(seeds.get("en", np.empty(0, np.int64)), np.array([word_code(s) for s in TOXIC_SEEDS], np.int64))
-    own = {k: induce(docs.where(F.col("lang") == k), v) for k, v in sorted(seeds.items())}
-    every: dict[int, float] = {}
-    for lexicon in own.values():
-        for c, w in lexicon.items():
-            every[c] = max(w, every.get(c, 0.0))
-    known = score(sample, every, own).join(sample.select("doc_id", "lang", "label"), "doc_id").select("lang", "label", "score").toPandas()
-    return every, own, {k: _least(g["score"].to_numpy(), g["label"].to_numpy() == 1) for k, g in known.groupby("lang")}
+    by_hand = np.array([int.from_bytes(word_code(s), "little", signed=True) for s in TOXIC_SEEDS], np.int64)
+    toxic, clean = seeds.get("en", (np.empty(0, np.int64), np.empty(0, np.int64)))
+    seeds["en"] = np.union1d(toxic, by_hand), np.setdiff1d(clean, by_hand)
+    own = induce(enc, dict(sorted(seeds.items())))
+    known = score(sample.select("doc_id", "lang", "codes"), own).join(sample.select("doc_id", "lang", "label"), "doc_id").select("lang", "label", "score").toPandas()
+    return own, {k: _least(g["score"].to_numpy(), g["label"].to_numpy() == 1) for k, g in known.groupby("lang")}
 
 
 def _least(scores: np.ndarray, toxic: np.ndarray) -> float:
@@ -205,46 +247,50 @@ def _least(scores: np.ndarray, toxic: np.ndarray) -> float:
     return max(TOXIC, min(float(tries[int(np.argmax(f1))]), float(clean)))
 
 
-def score(docs: DataFrame, lexicon: dict[int, float], own: dict[str, dict[int, float]] | None = None, least: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, hits, score, toxic, for every row of docs.
+def score(enc: DataFrame, own: dict[str, dict[int, float]], least: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, hits, score, toxic, for every row of enc, which encoded() gives.
 
     Method: a graph joins words that are near one another more than chance has it (PPMI); random walks with restart from
-    labelled seed terms give words their polarity weights; a document's score is the sum of its words' weights, per SCALE
-    words for a document of more. hits: the number of its words in the lexicon; toxic: whether the score reaches TOXIC.
-    A document in a language that own has gets that lexicon, any other the given one; least gives languages other scores
-    in place of TOXIC.
+    labelled seed terms of both poles give words their polarity; a document's score is the sum of its words' polarity, per
+    SCALE words for a document of more. hits: the number of its words of toxic polarity; toxic: whether the score reaches
+    the language's least score, or TOXIC. A document of a language without a lexicon gets the toxic words of all.
 
-    A null text, or one without words, scores 0; so do all where the corpus has no seed. Repeated rows are each scored; an
-    empty table gives an empty result; columns other than doc_id, text and lang aren't read.
+    A null text, or one without words, scores 0; so do all where the corpus has no seed. A text counts whole, however
+    long. A score equal to the least is toxic. Repeated rows are each scored; an empty table gives an empty result; columns
+    other than doc_id, text and lang aren't read, whatever their names.
     """
 
     def arrays(x):
         codes = np.array(sorted(x), np.int64)
         return codes, np.array([x[int(c)] for c in codes], float)
 
-    other, by = arrays(lexicon), {k: arrays(x) for k, x in (own or {}).items()}
+    every: dict[int, float] = {}
+    for lexicon in own.values():
+        for c, w in lexicon.items():
+            if w > 0:
+                every[c] = max(w, every.get(c, 0.0))
+    other, by = arrays(every), {k: arrays(x) for k, x in own.items() if x}
 
     def run(batches):
-        coder = ChunkCoder(_word_bytes)
         for b in batches:
             hits, total = np.zeros(len(b), np.int64), np.zeros(len(b))
             need = np.array([(least or {}).get(lang, TOXIC) for lang in b["lang"]], float)
-            for i, (text, lang) in enumerate(zip(b["text"], b["lang"])):
-                c = coder.array(text, np.int64)
+            for i, (text, lang) in enumerate(zip(b["codes"], b["lang"])):
+                c = np.frombuffer(text, np.int64)
                 codes, weights = by.get(lang, other)
                 if len(c) and len(codes):
                     at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-                    at = at[codes[at] == c]
-                    hits[i], total[i] = len(at), weights[at].sum() * SCALE / max(SCALE, len(c))
+                    w = weights[at[codes[at] == c]]
+                    hits[i], total[i] = (w > 0).sum(), w.sum() * SCALE / max(SCALE, len(c))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "hits": hits, "score": total.round(6), "toxic": total.round(6) >= need})
 
-    return columns(docs).select("doc_id", "text", "lang").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
+    return enc.select("doc_id", "lang", "codes").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, hits, score and toxic for every document, by the lexicons that all documents give from each language's seeds."""
-    docs = columns(table(spark, sf_dir, "documents"))
-    return score(docs, *lexicons(docs, table(spark, sf_dir, "labels")))
+    enc = encoded(table(spark, sf_dir, "documents"))
+    return score(enc, *lexicons(enc, table(spark, sf_dir, "labels")))
 
 
 SQL: dict[str, str] = {}
