@@ -3,259 +3,376 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, stored, table, words
+from engramlake.llm.common import ChunkCoder, columns, keep_heap, stored, table, words
 
-#: Words that the model knows, the most frequent ones; number 0 is any other word, number 1 stands before a text.
-VOCABULARY = 2000
-CONTEXT, DIM, NOISE = 2, 24, 64
-#: Share of all token positions that is trained on; rounds after which the trainers' parameters are averaged.
-SHARE, ROUNDS = 1 / 16, 3
-#: Distinct trained n-grams for each trainer, and in a step.
-A_TRAINER, STEP, RATE = 200_000, 512, 0.1
-_OTHER, _START = 0, 1
-_CHUNK = 1 << 17
+#: Words that the model knows by themselves, the most frequent ones; the others are known by their endings, of so many kinds.
+VOCABULARY, ENDINGS = 32_000, 256
+#: Words before a word; numbers in a vector; words of a group.
+CONTEXT, DIM, GROUP = 2, 16, 180
+#: Noise groups of a step; noise words from the word's own group, for each word.
+NOISE_GROUPS, NOISE_WORDS = 32, 2
+#: Parts of the corpus that are trained on in turn, the trainers' parameters being averaged after each.
+ROUNDS = 3
+#: Positions of a trainer, of a piece of a document, and of a step; the step size of Adagrad, and its first sum of squares.
+A_TRAINER, PIECE, STEP, RATE, FIRST = 2_000_000, 4096, 4096, 0.04, 5e-3
+#: Positions scored at a time; rows of a product.
+_CHUNK, _ROWS = 1 << 16, 1024
+_BITS = 21
 
 
-def _word_bytes(chunk: str) -> bytes:
-    return b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words(chunk))
+@functools.lru_cache(maxsize=1 << 16)
+def _ending(end: str) -> bytes:
+    return xxhash.xxh3_64_digest(end.encode("utf-8", "surrogatepass"))[:1]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """code, n: how often each word comes in all documents."""
+def word_code(word: str) -> bytes:
+    """A word's 64-bit code; the highest byte is that of its ending, the last two letters."""
+    return xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[:7] + _ending(word[-2:])
 
-    def run(batches):
-        coder = ChunkCoder(_word_bytes)
-        for b in batches:
-            codes, n = np.unique(np.concatenate([np.empty(0, np.int64), *(coder.array(t, np.int64) for t in b["text"])]), return_counts=True)
-            yield pd.DataFrame({"code": codes, "n": n})
 
-    return docs.select("text").mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+def _word_bytes(chunk: str) -> bytes:
+    return b"".join(map(word_code, words(chunk)))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[int, int], np.ndarray]:
-    """The words' numbers by code, and each number's share of all words."""
-    counts = cut(word_counts(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "code").limit(size).collect()
-    n = np.array([0, 0, *(r["n"] for r in top)], float)
-    n[_OTHER] = total - n.sum()
-    n = n + 1.0  # so that none is without noise
-    return {r["code"]: i + 2 for i, r in enumerate(top)}, n / n.sum()
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id and codes, the codes of all words in order: written once, for all passes over the corpus."""
 
+    def run(batches):
+        coder = ChunkCoder(_word_bytes)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "codes": [coder.bytes(t) for t in b["text"]]})
 
-class Encoder:
-    def __init__(self, number: dict[int, int]):
-        self.number = number
-        self.coder = ChunkCoder(self._chunk)
+    return stored(columns(docs).select("doc_id", "text").mapInPandas(run, "doc_id bigint, codes binary"), "words")
 
-    def _chunk(self, chunk: str) -> bytes:
-        return np.array([self.number.get(c, _OTHER) for c in np.frombuffer(_word_bytes(chunk), np.int64).tolist()], np.int32).tobytes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        return self.coder.array(text, np.int32)
+def word_counts(enc: DataFrame) -> DataFrame:
+    """code, n: how often each word comes in all documents."""
 
+    def run(batches):
+        for b in batches:
+            codes, n = np.unique(np.frombuffer(b"".join(b["codes"]), np.int64), return_counts=True)
+            yield pd.DataFrame({"code": codes, "n": n})
 
-def grams(ids: list[np.ndarray], size: int) -> np.ndarray:
-    """For each word of the texts in turn, it and the CONTEXT words before it, as one number."""
-    padded = np.concatenate([np.empty(0, np.int32), *(np.r_[[_START] * CONTEXT, x] for x in ids)]).astype(np.int64)
-    own = np.concatenate([np.empty(0, bool), *(np.r_[[False] * CONTEXT, np.ones(len(x), bool)] for x in ids)])
-    at = np.flatnonzero(own)
-    out = padded[at - CONTEXT]
-    for k in range(CONTEXT - 1, -1, -1):
-        out = out * size + padded[at - k]
-    return out
+    return enc.select("codes").mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def training_grams(docs: DataFrame, number: dict[int, int], size: int) -> DataFrame:
-    """gram, n: SHARE of the positions of all documents, by a hash of place and words."""
+class Vocabulary:
+    """Numbers of words, by falling frequency: the VOCABULARY most frequent words, and the endings of all others.
 
-    def run(batches):
-        encode = Encoder(number)
-        bound = np.uint64(SHARE * 2.0**64)
-        for b in batches:
-            g = grams([encode(t) for t in b["text"]], size)
-            at = mix64(g.view(np.uint64) ^ mix64(np.arange(len(g), dtype=np.uint64)))
-            got, n = np.unique(g[at < bound], return_counts=True)
-            yield pd.DataFrame({"gram": got, "n": n})
+    share: each number's share of all words; spread: log of how many words a number stands for. Numbers are in groups of
+    GROUP by frequency. The number after the last stands before a text.
+    """
 
-    return docs.select("text").mapInPandas(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    def __init__(self, codes: np.ndarray, n: np.ndarray, end_words: np.ndarray, end_n: np.ndarray):
+        count = np.r_[n, end_n].astype(float) + 1.0  # so that none is without noise
+        order = np.argsort(-count, kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        self.size = len(order)
+        self.share = count[order] / count.sum()
+        self.spread = np.log(np.r_[np.ones(len(n)), np.maximum(end_words, 1)])[order]
+        self.by_ending = number[len(n) :].astype(np.uint16)
+        self.codes, self.numbers = np.r_[codes.astype(np.int64), 0], np.r_[number[: len(n)], 0].astype(np.uint16)
+        # Two tables by different bits of the code, for codes that collide in the first.
+        self.first, self.second = np.full(1 << _BITS, len(codes), np.int32), np.full(1 << _BITS, len(codes), np.int32)
+        at = (codes & (1 << _BITS) - 1).astype(np.int64)
+        took = np.unique(at, return_index=True)[1]
+        self.first[at[took]] = took
+        rest = np.setdiff1d(np.arange(len(codes)), took)
+        self.second[codes[rest] >> _BITS & (1 << _BITS) - 1] = rest
+        self.groups = -(-self.size // GROUP)
+        self.group_share = np.add.reduceat(self.share, np.arange(0, self.size, GROUP))
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of words by their codes."""
+        out = self.by_ending[codes.view(np.uint64) >> np.uint64(56)]
+        for t, shift in ((self.first, 0), (self.second, _BITS)):
+            at = t[codes >> shift & (1 << _BITS) - 1]
+            ok = (self.codes[at] == codes) & (at < len(self.codes) - 1)
+            out[ok] = self.numbers[at[ok]]
+        return out
+
+
+def vocabulary(enc: DataFrame, size: int | None = None) -> Vocabulary:
+    """From the counts of all words in all documents; what comes to the driver is bounded by VOCABULARY and ENDINGS."""
+    size = VOCABULARY if size is None else size
+    counts = stored(word_counts(enc), "counts")
+    top = counts.orderBy(F.desc("n"), "code").limit(size).toPandas()
+    ending = F.shiftrightunsigned("code", 56)
+    by = counts.groupBy(ending.alias("e")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    end_words, end_n = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in by:
+        end_words[r["e"]], end_n[r["e"]] = r["words"], r["n"]
+    codes, n = top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    of = (codes.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+    return Vocabulary(codes, n, end_words - np.bincount(of, minlength=ENDINGS), end_n - np.bincount(of, n, ENDINGS))
 
 
 class Model:
-    """Context vectors, word vectors, a matrix for each place of the context, and biases."""
+    """Context vectors, a matrix for each place of the context, word vectors and biases, group vectors and biases."""
 
-    def __init__(self, size: int, flat: np.ndarray | None = None, share: np.ndarray | None = None):
-        self.shapes = [(size, DIM), (size, DIM), (CONTEXT, DIM, DIM), (size,)]
+    def __init__(self, v: Vocabulary, flat: np.ndarray | None = None):
+        self.shapes = [(v.size + 1, DIM), (CONTEXT, DIM, DIM), (v.size, DIM), (v.size,), (v.groups, DIM), (v.groups,)]
         if flat is None:
             rng = np.random.default_rng(0)
-            parts = [rng.normal(0, 0.1, self.shapes[0]), rng.normal(0, 0.1, self.shapes[1]), np.stack([np.eye(DIM)] * CONTEXT), np.log(share)]
+            within = v.share / np.repeat(v.group_share, GROUP)[: v.size]
+            parts = [rng.normal(0, 0.1, self.shapes[0]), np.stack([np.eye(DIM)] * CONTEXT), rng.normal(0, 0.1, self.shapes[2]), np.log(within), rng.normal(0, 0.1, self.shapes[4]), np.log(v.group_share)]
             flat = np.concatenate([p.ravel() for p in parts]).astype(np.float32)
         self.flat = flat.copy()
-        self.parts = []
-        at = 0
+        self.parts, at = [], 0
         for s in self.shapes:
             self.parts.append(self.flat[at : at + math.prod(s)].reshape(s))
             at += math.prod(s)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that the words of a context, the nearest last, give for the next word."""
-        r, _, c, _ = self.parts
+        r, c = self.parts[:2]
         return sum(r[contexts[:, i]] @ c[i] for i in range(CONTEXT))
 
-    def log_normalisers(self, predicted: np.ndarray) -> np.ndarray:
-        s = predicted @ self.parts[1].T + self.parts[3]
-        top = s.max(1)
-        return np.log(np.exp(s - top[:, None]).sum(1)) + top
 
+def _products(h: np.ndarray, vectors: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """h @ vectors.T in memory that is held."""
+    return np.matmul(h, vectors.T, out=held[: len(h) * len(vectors)].reshape(len(h), len(vectors)))
 
-def split(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts (n, CONTEXT) and words of grams."""
-    word = gram % size
-    rest = gram // size
-    out = np.empty((len(gram), CONTEXT), np.int64)
-    for i in range(CONTEXT - 1, -1, -1):
-        out[:, i] = rest % size
-        rest = rest // size
-    return out, word
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Log of the sums of the exponentials of each row, in place; scores too large for an exponential are cut."""
+    np.minimum(s, 80, out=s)
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], np.float32))
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows added up by their number: the numbers that come, and their sums."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(model: Model, gram: np.ndarray, n: np.ndarray, share: np.ndarray, seed: int) -> None:
-    """One pass of noise-contrastive estimation with Adagrad; the noise words of a step are shared by its rows."""
-    size = len(share)
-    rng = np.random.default_rng(seed)
-    r, q, c, b = model.parts
-    gr, gq, gc, gb = (np.full(p.shape, 1e-4, np.float32) for p in (r, q, c, b))
-    upto, log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-    order = rng.permutation(len(gram))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def move(p, g, at, d):
-        g[at] += d * d
-        p[at] += RATE * d / np.sqrt(g[at])
+
+def train(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarray, seed: int) -> None:
+    """One pass of noise-contrastive estimation with Adagrad over positions, in a random order.
+
+    A word is told from noise twice: its group from NOISE_GROUPS groups drawn by their shares, and the word from
+    NOISE_WORDS words drawn by their shares in its group.
+    """
+    rng = np.random.default_rng(seed)
+    r, c, q, b, u, d = model.parts
+    gr, gq, gu = (np.full(len(p), FIRST, np.float32) for p in (r, q, u))
+    gc, gb, gd = (np.full(p.shape, FIRST, np.float32) for p in (c, b, d))
+    upto, group_upto = np.cumsum(v.share), np.cumsum(v.group_share)
+    group_of = np.arange(v.size) // GROUP
+    start = np.r_[0.0, upto][group_of * GROUP]
+    log_group = np.log(NOISE_GROUPS * v.group_share).astype(np.float32)
+    log_word = np.log(NOISE_WORDS * v.share / v.group_share[group_of]).astype(np.float32)
+    order = rng.permutation(len(word))
+
+    def move(p, g, at, grad):
+        g[at] += np.einsum("ij,ij->i", grad, grad) / DIM
+        p[at] += RATE * grad / np.sqrt(g[at])[:, None]
+
+    def move_each(p, g, at, grad):
+        g[at] += grad * grad
+        p[at] += RATE * grad / np.sqrt(g[at])
 
     for i in range(0, len(order), STEP):
         rows = order[i : i + STEP]
-        contexts, word = split(gram[rows], size)
-        weight = n[rows].astype(np.float32)[:, None]
-        noise = np.minimum(np.searchsorted(upto, rng.random(NOISE)), size - 1)
-        h = model.predicted(contexts)
-        own = (h * q[word]).sum(1, keepdims=True) + b[word][:, None] - log_noise[word][:, None]
-        other = h @ q[noise].T + b[noise] - log_noise[noise]
-        d_own = weight / (1 + np.exp(np.clip(own, -30, 30))) / len(rows)
-        d_other = -weight / (1 + np.exp(-np.clip(other, -30, 30))) / len(rows)
-        dh = d_own * q[word] + d_other @ q[noise]
-        at, dq = _sum_rows(np.r_[word, noise], np.concatenate([np.c_[d_own * h, d_own], np.c_[d_other.T @ h, d_other.sum(0)]]))
+        context, w = contexts[rows].astype(np.int64), word[rows].astype(np.int64)
+        g = group_of[w]
+        m = np.float32(1 / math.sqrt(len(rows)))  # steps of a mean would leave rare words where they are
+        noise = np.minimum(np.searchsorted(group_upto, rng.random(NOISE_GROUPS)), v.groups - 1)
+        draw = np.searchsorted(upto, start[w][:, None] + rng.random((len(rows), NOISE_WORDS)) * v.group_share[g][:, None])
+        draw = np.clip(draw, (g * GROUP)[:, None], np.minimum(g * GROUP + GROUP, v.size)[:, None] - 1)
+        h = model.predicted(context)
+        # groups
+        ug = u[g]
+        own = m * (1 - _sigmoid(np.einsum("ij,ij->i", h, ug) + d[g] - log_group[g]))
+        other = -m * _sigmoid(h @ u[noise].T + d[noise] - log_group[noise])
+        dh = own[:, None] * ug + other @ u[noise]
+        # words
+        qw, qn = q[w], q[draw]
+        own_w = m * (1 - _sigmoid(np.einsum("ij,ij->i", h, qw) + b[w] - log_word[w]))
+        other_w = -m * _sigmoid(np.einsum("ij,ikj->ik", h, qn) + b[draw] - log_word[draw])
+        dh += own_w[:, None] * qw + np.einsum("ik,ikj->ij", other_w, qn)
+        at, grad = _sum_rows(np.r_[g, noise], np.c_[np.r_[own[:, None] * h, other.T @ h], np.r_[own, other.sum(0)]])
+        move(u, gu, at, grad[:, :-1])
+        move_each(d, gd, at, grad[:, -1])
+        pulls = np.c_[own_w, other_w]
+        at, grad = _sum_rows(np.c_[w, draw].ravel(), np.concatenate([pulls[:, :, None] * h[:, None, :], pulls[:, :, None]], 2).reshape(-1, DIM + 1))
+        move(q, gq, at, grad[:, :-1])
+        move_each(b, gb, at, grad[:, -1])
+        into, pushes = [], []
         for k in range(CONTEXT):
-            where, dr = _sum_rows(contexts[:, k], dh @ c[k].T)
-            dc = r[contexts[:, k]].T @ dh
-            move(r, gr, where, dr)
-            move(c, gc, k, dc)
-        move(q, gq, at, dq[:, :-1])
-        move(b, gb, at, dq[:, -1])
+            into.append(context[:, k])
+            pushes.append(dh @ c[k].T)
+            dc = r[context[:, k]].T @ dh
+            gc[k] += dc * dc
+            c[k] += RATE * dc / np.sqrt(gc[k])
+        move(r, gr, *_sum_rows(np.concatenate(into), np.concatenate(pushes)))
+
+
+def pieces(enc: DataFrame, v: Vocabulary, trainers: int) -> DataFrame:
+    """round, trainer, h, part, ids: all documents as numbers, cut into pieces of PIECE words, with the context before each.
+
+    Where a piece goes is told by its document's number and text, and so is the same for any layout of the files; pieces of
+    one text with different document numbers, and of one long text, are spread over the trainers.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, codes in zip(b["doc_id"], b["codes"]):
+                x = v(np.frombuffer(codes, np.int64))
+                h = xxhash.xxh3_64_intdigest(codes, seed=0 if doc is None or doc != doc else int(doc) & (1 << 63) - 1)
+                x = np.r_[np.full(CONTEXT, v.size, np.uint16), x]
+                for k in range(-(-(len(x) - CONTEXT) // PIECE)):
+                    t = xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), seed=h)
+                    rows.append((t % ROUNDS, t // ROUNDS % trainers, np.uint64(t).view(np.int64), x[k * PIECE : (k + 1) * PIECE + CONTEXT].tobytes()))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=_PIECES)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=_PIECES)
+
+    return enc.select("doc_id", "codes").mapInPandas(run, "round int, trainer int, h bigint, ids binary")
+
 
+_PIECES = ["round", "trainer", "h", "ids"]
 
-def fit(docs: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
-    """The words' numbers, their shares, and the model's parameters, from all documents.
 
-    The positions trained on are a fixed share of all, so they grow with the input, and so does the number of trainers:
-    each passes over its own part of the n-grams, and after every round their parameters are averaged by weight.
+def fit(enc: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary, and the model's parameters, from all positions of all documents.
+
+    The number of trainers grows with the input: in each round every trainer passes once over its own pieces of that
+    round's part, from the parameters that the round before left, and the results are averaged by weight.
     """
-    number, share = vocabulary(docs)
-    size = len(share)
-    counted = stored(training_grams(docs, number, size), "grams")
-    trainers = max(1, math.ceil(counted.count() / A_TRAINER))
-    parts = counted.select(F.pmod(F.xxhash64("gram"), F.lit(trainers)).cast("int").alias("trainer"), "gram", "n")
+    v = vocabulary(enc)
+    total = enc.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    trainers = max(1, math.ceil(total / 8 / ROUNDS / A_TRAINER))
+    parts = stored(pieces(enc, v, trainers), "pieces", ["round"])
     groups = max(1, math.isqrt(trainers))
-    flat = Model(size, share=share).flat
+    flat = Model(v).flat
     for k in range(ROUNDS):
-        trained = parts.groupBy("trainer").applyInPandas(_trainer(flat, share, k, groups), "part int, weight double, sums binary")
-        got = trained.groupBy("part").applyInPandas(_add, "weight double, sums binary").collect()
+        trained = parts.where(F.col("round") == k).select("trainer", "h", "ids").groupBy("trainer").applyInPandas(_trainer(flat, v, k, groups), "trainer int, part int, weight double, sums binary")
+        got = trained.groupBy("part").applyInPandas(_add, "part int, weight double, sums binary").collect()
         if got:
+            got.sort(key=lambda r: r["part"])
             flat = (sum(np.frombuffer(r["sums"]) for r in got) / sum(r["weight"] for r in got)).astype(np.float32)
-    return number, share, flat
+    return v, flat
 
 
-def _trainer(flat: np.ndarray, share: np.ndarray, k: int, groups: int):
+def _trainer(flat: np.ndarray, v: Vocabulary, k: int, groups: int):
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        model, b = Model(len(share), flat), b.sort_values("gram")
-        trainer, weight = int(b["trainer"].iloc[0]), float(b["n"].sum())
-        train(model, b["gram"].to_numpy(np.int64), b["n"].to_numpy(np.int64), share, trainer * ROUNDS + k)
-        return pd.DataFrame({"part": [trainer % groups], "weight": [weight], "sums": [(model.flat * np.float32(weight)).tobytes()]})
+        keep_heap()
+        model = Model(v, flat)
+        trainer = int(b["trainer"].iloc[0])
+        ids = [np.frombuffer(x, np.uint16) for _, x in sorted(zip(b["h"], b["ids"]))]
+        word = np.concatenate([x[CONTEXT:] for x in ids])
+        contexts = np.stack([np.concatenate([x[i : len(x) - CONTEXT + i] for x in ids]) for i in range(CONTEXT)], 1)
+        train(model, v, contexts, word, trainer * ROUNDS + k)
+        return pd.DataFrame({"trainer": [trainer], "part": [trainer % groups], "weight": [float(len(word))], "sums": [(model.flat * np.float32(len(word))).tobytes()]})
 
     return run
 
 
 def _add(b: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in b["sums"]], axis=0)
-    return pd.DataFrame({"weight": [b["weight"].sum()], "sums": [total.tobytes()]})
-
-
-@functools.lru_cache(maxsize=1)
-def _normalisers(digest: bytes, size: int) -> np.ndarray:
-    """Log-normalisers by context, kept in a worker from task to task; nan where there's none yet."""
-    return np.full(size**CONTEXT, np.nan, np.float32)
-
-
-def log_probs(model: Model, gram: np.ndarray, size: int, kept: np.ndarray) -> np.ndarray:
-    """Normalised log-probability of each gram's word after its context."""
-    out = np.empty(len(gram), np.float32)
-    for i in range(0, len(gram), _CHUNK):
-        part = gram[i : i + _CHUNK]
-        context, where = np.unique(part // size, return_inverse=True)
-        h = model.predicted(split(context * size, size)[0])
-        new = np.flatnonzero(np.isnan(kept[context]))
-        for j in range(0, len(new), 1024):
-            kept[context[new[j : j + 1024]]] = model.log_normalisers(h[new[j : j + 1024]])
-        word = part % size
-        out[i : i + _CHUNK] = np.einsum("ij,ij->i", h[where], model.parts[1][word]) + model.parts[3][word] - kept[context][where]
+    """The sum of the trainers' parameters, in the trainers' order."""
+    b = b.sort_values("trainer")
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in b["sums"])
+    return pd.DataFrame({"part": [int(b["part"].iloc[0])], "weight": [b["weight"].sum()], "sums": [total.tobytes()]})
+
+
+def log_probs(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Normalised log-probability of each word after its context: of its group, of its number in the group, and of the word.
+
+    Products are taken for many positions at once: with all groups' vectors for each different context, and with a group's
+    words' vectors for all positions whose word is in it.
+    """
+    q, u = np.c_[model.parts[2], model.parts[3]], np.c_[model.parts[4], model.parts[5]]
+    held = np.empty(_ROWS * max(GROUP, v.groups), np.float32)
+    out = np.empty(len(word), np.float32)
+    for i in range(0, len(word), _CHUNK):
+        context, w = contexts[i : i + _CHUNK].astype(np.int64), word[i : i + _CHUNK].astype(np.int64)
+        key, first, where = np.unique(context @ (v.size + 1) ** np.arange(CONTEXT), return_index=True, return_inverse=True)
+        h = np.c_[model.predicted(context[first]), np.ones(len(key), np.float32)]  # a one for the biases
+        norm = np.empty(len(key), np.float32)
+        for j in range(0, len(key), _ROWS):
+            norm[j : j + _ROWS] = _log_sum(_products(h[j : j + _ROWS], u, held))
+        g = w // GROUP
+        order = np.argsort(g.astype(np.uint16), kind="stable")
+        where, g, w = where[order], g[order], w[order]
+        h = h[where]
+        s = np.einsum("ij,ij->i", h, u[g]) - norm[where]
+        edges = np.searchsorted(g, np.arange(v.groups + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = q[k * GROUP : (k + 1) * GROUP]
+            for e in range(edges[k], edges[k + 1], _ROWS):
+                at = slice(e, min(e + _ROWS, edges[k + 1]))
+                z = _products(h[at], own, held)
+                s[at] += z[np.arange(len(z)), w[at] - k * GROUP]
+                s[at] -= _log_sum(z)
+        out[i + order] = s - v.spread[w]
     return out
 
 
-def score(docs: DataFrame, number: dict[int, int], share: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob, for every row of docs.
+def score(enc: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob, for every row of enc, which encoded() gives.
 
     Method: the CONTEXT words before a word give a vector, by a matrix for each place (log-bilinear); its products with all
-    words' vectors, normalised, are the word's probabilities. Words beyond the vocabulary are one word.
+    groups' vectors, and with those of all words of the word's group, are normalised and multiplied. A word beyond the
+    vocabulary has the probability of its ending, spread evenly over all words that share it.
 
-    A text without words, an empty or a null one, has 0 tokens, log_prob 0 and no mean. Repeated rows are each scored; an
-    empty table gives an empty result; columns other than doc_id and text aren't read.
+    A text without words, an empty or a null one, has 0 tokens, log_prob 0 and no mean. A text counts whole, however long;
+    words of equal frequency are numbered by their codes. Repeated rows are each scored; an empty table gives an empty
+    result; columns other than doc_id and text aren't read, whatever their names.
     """
-    size = len(share)
 
     def run(batches):
-        encode, model = Encoder(number), Model(size, flat)
-        kept = _normalisers(hashlib.blake2b(flat.tobytes()).digest(), size)
+        keep_heap()
+        model = Model(v, flat)
         for b in batches:
-            ids = [encode(t) for t in b["text"]]
-            n = np.array([len(x) for x in ids], np.int64)
-            p = np.r_[0.0, np.cumsum(log_probs(model, grams(ids, size), size, kept), dtype=np.float64)]
-            ends = np.cumsum(n)
-            total = p[ends] - p[ends - n]
+            n = np.array([len(c) // 8 for c in b["codes"]], np.int64)
+            total, start = np.zeros(len(b)), 0
+            for end in np.r_[np.flatnonzero(np.diff(np.cumsum(n) // (4 * _CHUNK))) + 1, len(b)].tolist():
+                if n[start:end].any():
+                    total[start:end] = _totals(model, v, b["codes"].iloc[start:end], n[start:end])
+                start = end
             mean = pd.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), dtype="Float64")
             mean[n == 0] = pd.NA
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "log_prob": total, "mean_log_prob": mean})
 
-    return columns(docs).select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
+    return enc.select("doc_id", "codes").mapInPandas(run, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
+
+
+def _totals(model: Model, v: Vocabulary, codes: pd.Series, n: np.ndarray) -> np.ndarray:
+    """Log-probabilities of whole texts."""
+    x = v(np.frombuffer(b"".join(codes), np.int64))
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    contexts = np.full((len(x), CONTEXT), v.size, np.uint16)
+    for i in range(CONTEXT):
+        back = CONTEXT - i
+        ok = np.flatnonzero(place >= back)
+        contexts[ok, i] = x[ok - back]
+    p = np.r_[0.0, np.cumsum(log_probs(model, v, contexts, x), dtype=np.float64)]
+    ends = np.cumsum(n)
+    return p[ends] - p[ends - n]
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob for every document, by the model that all documents give."""
-    docs = columns(table(spark, sf_dir, "documents"))
-    return score(docs, *fit(docs))
+    enc = encoded(table(spark, sf_dir, "documents"))
+    return score(enc, *fit(enc))
 
 
 SQL: dict[str, str] = {}
