@@ -21,9 +21,11 @@ NOISE_GROUPS, NOISE_WORDS = 32, 2
 #: Parts of the corpus that are trained on in turn, the trainers' parameters being averaged after each.
 ROUNDS = 3
 #: Positions of a trainer, of a piece of a document, and of a step; the step size of Adagrad, and its first sum of squares.
-A_TRAINER, PIECE, STEP, RATE, FIRST = 2_000_000, 4096, 4096, 0.04, 5e-3
+A_TRAINER, PIECE, STEP, RATE, FIRST = 2_000_000, 4096, 4096, 0.06, 5e-3
+#: Equal positions of a step that are one, with a weight.
+TOGETHER = 2
 #: Positions scored at a time; rows of a product.
-_CHUNK, _ROWS = 1 << 16, 1024
+_CHUNK, _ROWS = 1 << 18, 1024
 _BITS = 21
 
 
@@ -134,7 +136,7 @@ class Model:
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that the words of a context, the nearest last, give for the next word."""
         r, c = self.parts[:2]
-        return sum(r[contexts[:, i]] @ c[i] for i in range(CONTEXT))
+        return sum(r.take(contexts[:, i], 0) @ c[i] for i in range(CONTEXT))
 
 
 def _products(h: np.ndarray, vectors: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -149,77 +151,117 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return np.log(s @ np.ones(s.shape[1], np.float32))
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows added up by their number: the numbers that come, and their sums."""
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts numbers under 65,536, where each number begins in it, and the numbers that come."""
     order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    return order, first, at[first]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def grams(contexts: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different contexts with their next word, in order, and for each position which it is and how often each comes.
+
+    size: of the vocabulary; the columns are the context's words and the word.
+    """
+    key = word.astype(np.int64)
+    for i in range(CONTEXT):
+        key += contexts[:, i].astype(np.int64) * (size + 1) ** (CONTEXT - i)
+    key, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    return np.stack([key // (size + 1) ** (CONTEXT - i) % (size + 1) for i in range(CONTEXT + 1)], 1), which, n
+
+
+def _alias(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For a draw by share within a group: each number's chance to stay when drawn evenly, and the number taken otherwise."""
+    stay, other = np.ones(v.size, np.float32), np.arange(v.size)
+    for k in range(0, v.size, GROUP):
+        p = v.share[k : k + GROUP]
+        p = (p / p.mean()).tolist()
+        few, many = [i for i, x in enumerate(p) if x < 1], [i for i, x in enumerate(p) if x >= 1]
+        while few and many:
+            i, j = few.pop(), many[-1]
+            stay[k + i], other[k + i] = p[i], k + j
+            p[j] -= 1 - p[i]
+            if p[j] < 1:
+                few.append(many.pop())
+    return stay, other
+
+
 def train(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarray, seed: int) -> None:
     """One pass of noise-contrastive estimation with Adagrad over positions, in a random order.
 
     A word is told from noise twice: its group from NOISE_GROUPS groups drawn by their shares, and the word from
-    NOISE_WORDS words drawn by their shares in its group.
+    NOISE_WORDS words drawn by their shares in its group. Positions with the same context and word go together, up to
+    TOGETHER of them, with their number as weight.
     """
     rng = np.random.default_rng(seed)
     r, c, q, b, u, d = model.parts
     gr, gq, gu = (np.full(len(p), FIRST, np.float32) for p in (r, q, u))
     gc, gb, gd = (np.full(p.shape, FIRST, np.float32) for p in (c, b, d))
-    upto, group_upto = np.cumsum(v.share), np.cumsum(v.group_share)
-    group_of = np.arange(v.size) // GROUP
-    start = np.r_[0.0, upto][group_of * GROUP]
+    group_upto, group_of = np.cumsum(v.group_share), np.arange(v.size) // GROUP
+    start, length = group_of * GROUP, np.minimum(GROUP, v.size - group_of * GROUP).astype(np.float32)
+    stay, other_word = _alias(v)
     log_group = np.log(NOISE_GROUPS * v.group_share).astype(np.float32)
     log_word = np.log(NOISE_WORDS * v.share / v.group_share[group_of]).astype(np.float32)
-    order = rng.permutation(len(word))
+    different, _, n = grams(contexts, word, v.size)
+    times = -(-n // TOGETHER)
+    order = rng.permutation(np.repeat(np.arange(len(n)), times))
+    weight = (n / times).astype(np.float32)
 
     def move(p, g, at, grad):
-        g[at] += np.einsum("ij,ij->i", grad, grad) / DIM
-        p[at] += RATE * grad / np.sqrt(g[at])[:, None]
+        g[at] = total = g.take(at) + np.einsum("ij,ij->i", grad, grad) / DIM
+        grad *= (RATE / np.sqrt(total))[:, None]
+        grad += p.take(at, 0)
+        p[at] = grad
 
     def move_each(p, g, at, grad):
         g[at] += grad * grad
         p[at] += RATE * grad / np.sqrt(g[at])
 
     for i in range(0, len(order), STEP):
-        rows = order[i : i + STEP]
-        context, w = contexts[rows].astype(np.int64), word[rows].astype(np.int64)
+        gram = order[i : i + STEP]
+        rows = different.take(gram, 0)
+        m = weight.take(gram)
+        m /= math.sqrt(m.sum())  # steps of a mean would leave rare words where they are
+        w = rows[:, CONTEXT]
         g = group_of[w]
-        m = np.float32(1 / math.sqrt(len(rows)))  # steps of a mean would leave rare words where they are
         noise = np.minimum(np.searchsorted(group_upto, rng.random(NOISE_GROUPS)), v.groups - 1)
-        draw = np.searchsorted(upto, start[w][:, None] + rng.random((len(rows), NOISE_WORDS)) * v.group_share[g][:, None])
-        draw = np.clip(draw, (g * GROUP)[:, None], np.minimum(g * GROUP + GROUP, v.size)[:, None] - 1)
-        h = model.predicted(context)
+        draw = (rng.random((len(rows), NOISE_WORDS), np.float32) * length.take(w)[:, None]).astype(np.int64) + start.take(w)[:, None]
+        draw = np.where(rng.random(draw.shape, np.float32) < stay.take(draw), draw, other_word.take(draw))
+        before = [r.take(rows[:, k], 0) for k in range(CONTEXT)]
+        h = sum(x @ c[k] for k, x in enumerate(before))
         # groups
-        ug = u[g]
-        own = m * (1 - _sigmoid(np.einsum("ij,ij->i", h, ug) + d[g] - log_group[g]))
-        other = -m * _sigmoid(h @ u[noise].T + d[noise] - log_group[noise])
-        dh = own[:, None] * ug + other @ u[noise]
+        ug, un = u.take(g, 0), u[noise]
+        own = m * _sigmoid(log_group[g] - np.einsum("ij,ij->i", h, ug) - d[g])
+        other = -m[:, None] * _sigmoid(h @ un.T + (d[noise] - log_group[noise]))
+        dh = own[:, None] * ug + other @ un
         # words
-        qw, qn = q[w], q[draw]
-        own_w = m * (1 - _sigmoid(np.einsum("ij,ij->i", h, qw) + b[w] - log_word[w]))
-        other_w = -m * _sigmoid(np.einsum("ij,ikj->ik", h, qn) + b[draw] - log_word[draw])
-        dh += own_w[:, None] * qw + np.einsum("ik,ikj->ij", other_w, qn)
-        at, grad = _sum_rows(np.r_[g, noise], np.c_[np.r_[own[:, None] * h, other.T @ h], np.r_[own, other.sum(0)]])
-        move(u, gu, at, grad[:, :-1])
-        move_each(d, gd, at, grad[:, -1])
-        pulls = np.c_[own_w, other_w]
-        at, grad = _sum_rows(np.c_[w, draw].ravel(), np.concatenate([pulls[:, :, None] * h[:, None, :], pulls[:, :, None]], 2).reshape(-1, DIM + 1))
-        move(q, gq, at, grad[:, :-1])
-        move_each(b, gb, at, grad[:, -1])
-        into, pushes = [], []
+        each = np.c_[w, draw]
+        qe = q.take(each, 0)
+        z = np.einsum("ikj,ij->ik", qe, h) + (b - log_word).take(each)
+        z[:, 0] *= -1
+        pulls = m[:, None] * _sigmoid(z)
+        pulls[:, 1:] *= -1
+        dh += np.einsum("ik,ikj->ij", pulls, qe)
+        by, first, at = _runs(np.r_[g, noise])
+        grad = np.r_[own[:, None] * h, other.T @ h].take(by, 0)
+        move(u, gu, at, np.add.reduceat(grad, first, axis=0))
+        move_each(d, gd, at, np.add.reduceat(np.r_[own, other.sum(0)][by], first))
+        by, first, at = _runs(each.ravel())
+        pulls = pulls.ravel().take(by)
+        move(q, gq, at, np.add.reduceat(pulls[:, None] * h.take(by // (NOISE_WORDS + 1), 0), first, axis=0))
+        move_each(b, gb, at, np.add.reduceat(pulls, first))
+        pushes = np.concatenate([dh @ c[k].T for k in range(CONTEXT)])
         for k in range(CONTEXT):
-            into.append(context[:, k])
-            pushes.append(dh @ c[k].T)
-            dc = r[context[:, k]].T @ dh
+            dc = before[k].T @ dh
             gc[k] += dc * dc
             c[k] += RATE * dc / np.sqrt(gc[k])
-        move(r, gr, *_sum_rows(np.concatenate(into), np.concatenate(pushes)))
+        by, first, at = _runs(rows[:, :CONTEXT].T.ravel())
+        move(r, gr, at, np.add.reduceat(pushes.take(by, 0), first, axis=0))
 
 
 def pieces(enc: DataFrame, v: Vocabulary, trainers: int) -> DataFrame:
@@ -303,17 +345,19 @@ def log_probs(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarra
     held = np.empty(_ROWS * max(GROUP, v.groups), np.float32)
     out = np.empty(len(word), np.float32)
     for i in range(0, len(word), _CHUNK):
-        context, w = contexts[i : i + _CHUNK].astype(np.int64), word[i : i + _CHUNK].astype(np.int64)
-        key, first, where = np.unique(context @ (v.size + 1) ** np.arange(CONTEXT), return_index=True, return_inverse=True)
-        h = np.c_[model.predicted(context[first]), np.ones(len(key), np.float32)]  # a one for the biases
-        norm = np.empty(len(key), np.float32)
-        for j in range(0, len(key), _ROWS):
+        rows, which, _ = grams(contexts[i : i + _CHUNK], word[i : i + _CHUNK], v.size)
+        context, w = rows[:, :CONTEXT], rows[:, CONTEXT]
+        first = np.r_[True, (context[1:] != context[:-1]).any(1)]
+        where, context = np.cumsum(first) - 1, context[first]
+        h = np.c_[model.predicted(context), np.ones(len(context), np.float32)]  # a one for the biases
+        norm = np.empty(len(context), np.float32)
+        for j in range(0, len(context), _ROWS):
             norm[j : j + _ROWS] = _log_sum(_products(h[j : j + _ROWS], u, held))
         g = w // GROUP
-        order = np.argsort(g.astype(np.uint16), kind="stable")
+        order, _, _ = _runs(g)
         where, g, w = where[order], g[order], w[order]
-        h = h[where]
-        s = np.einsum("ij,ij->i", h, u[g]) - norm[where]
+        h = h.take(where, 0)
+        s = np.einsum("ij,ij->i", h, u.take(g, 0)) - norm[where]
         edges = np.searchsorted(g, np.arange(v.groups + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             own = q[k * GROUP : (k + 1) * GROUP]
@@ -322,7 +366,9 @@ def log_probs(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarra
                 z = _products(h[at], own, held)
                 s[at] += z[np.arange(len(z)), w[at] - k * GROUP]
                 s[at] -= _log_sum(z)
-        out[i + order] = s - v.spread[w]
+        of = np.empty(len(s), np.float32)
+        of[order] = s - v.spread[w]
+        out[i : i + _CHUNK] = of[which]
     return out
 
 
@@ -344,7 +390,7 @@ def score(enc: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
         for b in batches:
             n = np.array([len(c) // 8 for c in b["codes"]], np.int64)
             total, start = np.zeros(len(b)), 0
-            for end in np.r_[np.flatnonzero(np.diff(np.cumsum(n) // (4 * _CHUNK))) + 1, len(b)].tolist():
+            for end in np.r_[np.flatnonzero(np.diff(np.cumsum(n) // _CHUNK)) + 1, len(b)].tolist():
                 if n[start:end].any():
                     total[start:end] = _totals(model, v, b["codes"].iloc[start:end], n[start:end])
                 start = end

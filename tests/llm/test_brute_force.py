@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from engramlake.llm import common, decontaminate, htmltext, language, licenses, lines, lmscore, mixing, quality, registry, simhash, toxicity
@@ -347,22 +348,27 @@ def test_language_is_the_plain_sum():
     assert (got == want).all()
 
 
-def test_toxicity(spark):
+def code(w):
+    return int.from_bytes(common.word_code(w), "little", signed=True)
+
+
+def codes(*ws):
+    return np.array([code(w) for w in ws], np.int64)
+
+
+def test_toxicity_from_seeds_given_by_hand(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    lexicon = toxicity.induce(docs)
-    assert all(toxicity.word_code(w) in lexicon for w in ("clown", "pathetic", "worthless", "disgusting")) and len(lexicon) < 20
-    s = toxicity.score(docs.where("lang = 'en'"), lexicon).join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    hit = s["toxic"]
-    assert (s["label"][hit] == 1).mean() >= 0.95 and hit[s["label"] == 1].mean() >= 0.9
+    lexicon = toxicity.induce(toxicity.encoded(docs), {"en": (codes(*toxicity.TOXIC_SEEDS), codes())})["en"]
+    assert all(lexicon.get(code(w), 0) > 0 for w in ("clown", "pathetic", "worthless", "disgusting")) and all(lexicon.get(code(w), 0) == 0 for w in ("the", "and", "of"))
 
 
 def test_toxicity_in_every_language(spark):
     """Lexicons from one half of the labels, recall and false alarms on the other."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    found = toxicity.lexicons(docs, labels.where("doc_id % 2 = 0"))
-    s = toxicity.score(docs.where("doc_id % 2 = 1"), *found).join(docs.select("doc_id", "lang"), "doc_id")
+    enc = toxicity.encoded(docs)
+    found = toxicity.lexicons(enc, labels.where("doc_id % 2 = 0"))
+    s = toxicity.score(enc.where("doc_id % 2 = 1"), *found).join(docs.select("doc_id", "lang"), "doc_id")
     s = s.join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
     figures = {k: (round(g["toxic"][g["label"] == 1].mean(), 3), round(g["toxic"][g["label"] == 0].mean(), 3)) for k, g in s.groupby("lang")}
     print(figures)
@@ -371,18 +377,48 @@ def test_toxicity_in_every_language(spark):
 
 
 def test_near_words_are_counted_once_a_passage(spark):
-    r = random.Random(2)
-    texts = [" ".join(r.choice(["bad", "awful", *"abcdefgh"]) for _ in range(40)) for _ in range(30)]
-    d = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("bad", "evil", "good", "sun", "sea", "sky")) for _ in range(r.randrange(40))) for _ in range(60)] * 2
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     want = collections.defaultdict(set)
     for t in texts:
         w = t.split()
-        for i, x in enumerate(w):
+        for i, a in enumerate(w):
             for j in range(max(0, i - toxicity.REACH), min(len(w), i + toxicity.REACH + 1)):
-                if x == "bad" and j != i and w[j] != x:
-                    want[x, w[j]].add((w[j - 1] if j else None, w[j + 1] if j + 1 < len(w) else None))
-    got = {(x["a"], x["b"]): x["n"] for x in toxicity.near_counts(d, np.array([toxicity.word_code("bad")]), False).collect()}
-    assert got == {(toxicity.word_code(a), toxicity.word_code(b)): len(v) for (a, b), v in want.items() if len(v) >= toxicity.LEAST_NEAR}
+                if a == "bad" and w[j] != a:
+                    want[a, w[j]].add((w[j - 1] if j else None, w[j + 1] if j + 1 < len(w) else None))
+    got = {(x["a"], x["b"]): x["n"] for x in toxicity.near_counts(toxicity.encoded(d), {"en": codes("bad")}).collect()}
+    assert got == {(code(a), code(b)): len(v) for (a, b), v in want.items() if len(v) >= toxicity.LEAST_NEAR}
+
+
+def test_walks_and_scores_are_the_plain_ones(spark):
+    """PPMI by its formula, walks by a matrix's powers, scores by adding up words."""
+    r = random.Random(11)
+    count = {w: r.randrange(20, 400) for w in "abcdefgh"}
+    total = 5_000_000.0
+    near = {(x, y): r.randrange(5, 60) for x in count for y in count if x != y and r.random() < 0.5}
+    pairs = spark.createDataFrame([("en", code(x), code(y), n) for (x, y), n in near.items()], "lang string, a long, b long, n long")
+    counts = spark.createDataFrame([("en", code(w), n) for w, n in count.items()], "lang string, code long, n long")
+    edges = toxicity.ppmi(pairs, counts, spark.createDataFrame([("en", total)], "lang string, total double"))
+    want = {k: math.log2(n * total / (2 * toxicity.REACH * count[k[0]] * count[k[1]])) for k, n in near.items()}
+    want = {k: x for k, x in want.items() if x >= toxicity.LEAST_PPMI}
+    got = {(x["a"], x["b"]): x["weight"] for x in edges.collect()}
+    assert want and got.keys() == {(code(x), code(y)) for x, y in want} and all(abs(got[code(x), code(y)] - v) < 1e-9 for (x, y), v in want.items())
+    names = sorted(count)
+    m = np.array([[want.get((x, y), 0.0) for y in names] for x in names])
+    m = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+    begin = np.array([[x in "ab" for x in names], [x in "gh" for x in names]]) / 2
+    at = begin
+    for _ in range(toxicity.STEPS):
+        at = (1 - toxicity.RESTART) * at @ m + toxicity.RESTART * begin
+    start = spark.createDataFrame([("en", code(w), 0.5 * (w in "ab"), 0.5 * (w in "gh")) for w in "abgh"], "lang string, code long, toxic double, clean double")
+    walked = {x["code"]: (x["toxic"], x["clean"]) for x in toxicity.walk(edges, start).collect()}
+    for i, w in enumerate(names):
+        assert np.allclose(walked.get(code(w), (0, 0)), at[:, i], atol=1e-12)
+    lexicon = {code("a"): 1.0, code("b"): 0.25, code("g"): -0.5}
+    d = spark.createDataFrame([(1, "a b g c"), (2, "a a " + "c " * 398), (3, "g"), (4, None)], "doc_id long, text string").selectExpr("*", "'en' lang")
+    out = {x["doc_id"]: (x["hits"], x["score"], x["toxic"]) for x in toxicity.score(toxicity.encoded(d), {"en": lexicon}, {"en": 0.5}).collect()}
+    assert out == {1: (2, 0.75, True), 2: (2, 0.5, True), 3: (0, -0.5, False), 4: (0, 0.0, False)}
 
 
 def plain_notices(text, all_templates):
@@ -457,21 +493,36 @@ def test_log_bilinear_model(spark):
             w.append(r.choice(after[w[-1]]))
         texts.append(" ".join(w))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    number, share, flat = lmscore.fit(docs.where("doc_id < 500"))
-    held = lmscore.score(docs.where("doc_id >= 500"), number, share, flat).toPandas()
-    unigram = np.mean([np.log(share[number[c]]) for t in texts[500:] for c in np.frombuffer(lmscore._word_bytes(t), np.int64).tolist()])
+    v, flat = lmscore.fit(lmscore.encoded(docs.where("doc_id < 500")))
+    held = lmscore.score(lmscore.encoded(docs.where("doc_id >= 500")), v, flat).toPandas()
+    ids = lambda t: v(np.frombuffer(lmscore._word_bytes(t), np.int64)).astype(int).tolist()
+    unigram = np.mean([np.log(v.share[i]) - v.spread[i] for t in texts[500:] for i in ids(t)])
     assert held["mean_log_prob"].mean() > unigram + 0.7
-    model, size = lmscore.Model(len(share), flat), len(share)
-    ids = lmscore.Encoder(number)(texts[0])
-    g = lmscore.grams([ids], size)
-    total = 0.0
-    for k, w in enumerate(ids):
-        context = np.array([[lmscore._START, lmscore._START, *ids][k : k + 2]])
-        s = model.predicted(context)[0] @ model.parts[1].T + model.parts[3]
-        p = np.exp(s - s.max())
-        assert abs((p / p.sum()).sum() - 1) < 1e-5
-        total += math.log(p[w] / p.sum())
-    assert abs(total - lmscore.log_probs(model, g, size, np.full(size**2, np.nan, np.float32)).sum()) < 0.05 * len(ids)
+    again = lmscore.fit(lmscore.encoded(docs.where("doc_id < 500").repartition(5).orderBy(F.desc("doc_id"))))[1]
+    assert (again == flat).all()  # however the rows lie
+    model = lmscore.Model(v, flat)
+    softmax = lambda s: s - s.max() - np.log(np.exp(s - s.max()).sum())
+    total, x = 0.0, ids(texts[500] + " unknown words")
+    for k, w in enumerate(x):
+        h = model.predicted(np.array([[v.size, v.size, *x][k : k + 2]]))[0]
+        g = w // lmscore.GROUP
+        own = slice(g * lmscore.GROUP, (g + 1) * lmscore.GROUP)
+        total += softmax(model.parts[4] @ h + model.parts[5])[g] + softmax(model.parts[2][own] @ h + model.parts[3][own])[w % lmscore.GROUP] - v.spread[w]
+    one = lmscore.score(lmscore.encoded(spark.createDataFrame([(0, texts[500] + " unknown words")], "doc_id long, text string")), v, flat).first()
+    assert abs(one["log_prob"] - total) < 1e-3 * len(x) and one["n_tokens"] == len(x)
+
+
+def test_draws_within_a_group_are_by_share():
+    n = np.array([1000, 400, 100, 50, 7, 3, 1])
+    v = lmscore.Vocabulary(np.arange(7) * 1_000_003, n, np.zeros(256), np.zeros(256))
+    stay, other = lmscore._alias(v)
+    for k in range(0, v.size, lmscore.GROUP):
+        size = min(lmscore.GROUP, v.size - k)
+        got = np.zeros(v.size)
+        for i in range(k, k + size):
+            got[i] += stay[i] / size
+            got[other[i]] += (1 - stay[i]) / size
+        assert np.allclose(got[k : k + size], v.share[k : k + size] / v.share[k : k + size].sum(), atol=1e-6)
 
 
 def test_quality_rules_keep_clean_documents(spark):

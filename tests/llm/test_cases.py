@@ -42,8 +42,8 @@ STAGES = {
 }
 WHOLE = {
     "language": (lambda s, d: language.identify(d, language.prototypes(language.columns(d)))),
-    "toxicity": (lambda s, d: toxicity.score(d, toxicity.induce(toxicity.columns(d), ("plain", "enough")))),
-    "lmscore": (lambda s, d: lmscore.score(d, *lmscore.fit(lmscore.columns(d)))),
+    "toxicity": (lambda s, d: toxicity.score(e := toxicity.encoded(d), *toxicity.lexicons(e, s.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")))),
+    "lmscore": (lambda s, d: lmscore.score(e := lmscore.encoded(d), *lmscore.fit(e))),
 }
 
 
