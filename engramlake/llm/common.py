@@ -115,7 +115,8 @@ def word_codes(chunk: str) -> bytes:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return [low] if low.isalnum() else _WORD.findall(low)
 
 
 class ChunkCoder(dict):

@@ -7,6 +7,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,8 +26,8 @@ ROUNDS = 3
 A_TRAINER, PIECE, STEP, RATE, FIRST = 2_000_000, 4096, 4096, 0.06, 5e-3
 #: Equal positions of a step that are one, with a weight.
 TOGETHER = 2
-#: Positions scored at a time; rows of a product.
-_CHUNK, _ROWS = 1 << 18, 1024
+#: Positions scored at a time; rows of a product; bytes of text encoded at a time.
+_CHUNK, _ROWS, _SLICE = 1 << 18, 1024, 1 << 24
 _BITS = 21
 
 
@@ -44,14 +46,35 @@ def _word_bytes(chunk: str) -> bytes:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id and codes, the codes of all words in order: written once, for all passes over the corpus."""
+    """doc_id and codes, the codes of all words in order: written once, for all passes over the corpus.
+
+    Each different piece between white space is encoded once for a slice of texts.
+    """
 
     def run(batches):
         coder = ChunkCoder(_word_bytes)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "codes": [coder.bytes(t) for t in b["text"]]})
+            text = pc.fill_null(b.column("text"), "")
+            size = np.cumsum(np.asarray(pc.binary_length(text), np.int64)) // _SLICE
+            edges = np.r_[0, np.flatnonzero(np.diff(size)) + 1, len(b)].tolist() if len(b) else []
+            for i, j in zip(edges[:-1], edges[1:]):
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), _encode(coder, text.slice(i, j - i))], ["doc_id", "codes"])
+
+    return stored(columns(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, codes binary"), "words")
+
 
-    return stored(columns(docs).select("doc_id", "text").mapInPandas(run, "doc_id bigint, codes binary"), "words")
+def _encode(coder: ChunkCoder, text: pa.Array) -> pa.Array:
+    """The words' codes of each text, end to end."""
+    pieces = pc.utf8_split_whitespace(text)
+    each = pieces.flatten().dictionary_encode()
+    codes = list(map(coder.__getitem__, each.dictionary.to_pylist()))
+    n = np.fromiter(map(len, codes), np.int64, len(codes)) // 8
+    begin, which = np.cumsum(n) - n, each.indices.to_numpy()
+    n = n.take(which)
+    upto = np.r_[0, np.cumsum(n)]
+    out = np.frombuffer(b"".join(codes), np.int64).take(np.repeat(begin.take(which) - upto[:-1], n) + np.arange(upto[-1]))
+    places = upto.take(np.r_[0, np.cumsum(np.asarray(pc.list_value_length(pieces), np.int64))]) * 8
+    return pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(out)])
 
 
 def word_counts(enc: DataFrame) -> DataFrame:
@@ -94,11 +117,14 @@ class Vocabulary:
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of words by their codes."""
-        out = self.by_ending[codes.view(np.uint64) >> np.uint64(56)]
-        for t, shift in ((self.first, 0), (self.second, _BITS)):
-            at = t[codes >> shift & (1 << _BITS) - 1]
-            ok = (self.codes[at] == codes) & (at < len(self.codes) - 1)
-            out[ok] = self.numbers[at[ok]]
+        at = self.first.take(codes & (1 << _BITS) - 1)
+        ok = (self.codes.take(at) == codes) & (at < len(self.codes) - 1)
+        out = self.numbers.take(at)
+        rest = np.flatnonzero(~ok)
+        codes = codes.take(rest)
+        at = self.second.take(codes >> _BITS & (1 << _BITS) - 1)
+        ok = (self.codes.take(at) == codes) & (at < len(self.codes) - 1)
+        out[rest] = np.where(ok, self.numbers.take(at), self.by_ending.take((codes.view(np.uint64) >> np.uint64(56)).astype(np.int64)))
         return out
 
 
