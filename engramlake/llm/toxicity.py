@@ -16,10 +16,15 @@ TOXIC_SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "loser")
 LABELLED = 4000
 #: A seed's labelled documents of its pole, at least; its least log-likelihood ratio (G2), or more where many words are tried; and a pole's most seeds.
 LEAST_DOCS, LEAST_G2, SEEDS = 3, 10.0, 200
+#: How many times as often documents of its pole have a seed: common words that toxic documents have somewhat more often are none.
+LEAST_RATIO = 4.0
 #: Words on either side that count as near.
 REACH = 10
 #: Times that two words have to be near for an edge, and least PPMI (bits) of one.
 LEAST_NEAR, LEAST_PPMI = 5, 3.0
+#: Share of a language's words from which a word is followed no further: one that is around every place of another comes to
+#: less than LEAST_PPMI there.
+COMMON = 1 / (2 * REACH * 2**LEAST_PPMI)
 #: A walk's chance to go back to its seeds, and its steps.
 RESTART, STEPS = 0.3, 8
 #: Share of the heaviest word's weight that a word needs to be in the lexicon, and to have its own edges looked up.
@@ -62,7 +67,7 @@ def labelled(enc: DataFrame, labels: DataFrame) -> DataFrame:
     named = cut(enc.where("lang IS NOT NULL").select("doc_id", "lang").join(known, "doc_id"))
     share = named.groupBy("lang", "label").agg(F.least(F.lit(1.0), F.lit(float(LABELLED)) / F.count("*")).alias("share"))
     picked = named.join(small(cut(share)), ["lang", "label"]).where("pmod(xxhash64(doc_id), 1000000) < share * 1000000").select("doc_id", "label").distinct()
-    return cut(enc.where("lang IS NOT NULL").join(small(cut(picked)), "doc_id").select("doc_id", "lang", "label", "codes"))
+    return enc.where("lang IS NOT NULL").join(small(cut(picked)), "doc_id").select("doc_id", "lang", "label", "codes")
 
 
 def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -70,6 +75,7 @@ def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     A document counts a word once, and documents that have it in one surrounding count once, so that copies don't. The
     least G2 is 2 ln of the number of words tried, if that is more: then about one word of a language gets in by chance.
+    A seed is LEAST_RATIO times as frequent in its pole's documents as in the other's, at least.
     sample: as labelled() gives it, which bounds what comes to the driver.
     """
 
@@ -89,8 +95,8 @@ def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
                 yield pd.concat(out)
 
     rows = sample.select("lang", "label", "codes").mapInPandas(run, "lang string, label int, code bigint, around bigint")
-    distinct = lambda label: F.count_distinct(F.when(F.col("label") == label, F.col("around")))
-    found = rows.groupBy("lang", "code").agg(distinct(1).alias("t"), distinct(0).alias("n")).where(f"t >= {LEAST_DOCS} OR n >= {LEAST_DOCS}").toPandas()
+    of = lambda label: F.sum((F.col("label") == label).cast("bigint"))
+    found = rows.distinct().groupBy("lang", "code").agg(of(1).alias("t"), of(0).alias("n")).where(f"t >= {LEAST_DOCS} OR n >= {LEAST_DOCS}").toPandas()
     sizes = {(r["lang"], r["label"]): r["count"] for r in sample.groupBy("lang", "label").count().collect()}
     out = {}
     for lang, g in found.groupby("lang"):
@@ -100,7 +106,9 @@ def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             code, poles = g["code"].to_numpy(np.int64), []
             for sign, pole in ((1, "t"), (-1, "n")):
                 tried = (g[pole] >= LEAST_DOCS).to_numpy()
-                ok = np.flatnonzero(tried & (sign * g2 >= max(LEAST_G2, 2 * math.log(max(1, tried.sum())))))
+                rates = (g["t"] / nt).to_numpy(), (g["n"] / nn).to_numpy()
+                far = rates[sign < 0] >= LEAST_RATIO * rates[sign > 0]
+                ok = np.flatnonzero(tried & far & (sign * g2 >= max(LEAST_G2, 2 * math.log(max(1, tried.sum())))))
                 poles.append(code[ok[np.lexsort((code[ok], -sign * g2[ok]))][:SEEDS]])
             out[lang] = tuple(poles)
     return out
@@ -190,14 +198,15 @@ def induce(enc: DataFrame, seeds: dict[str, tuple[np.ndarray, np.ndarray]]) -> d
     The graph is followed from the seeds outwards: as long as a word whose share is LEAST_WEIGHT of the greatest hasn't had
     its own edges looked up, they are, and the walks go again. As shares add up to 1 and the greatest is at least
     RESTART / SEEDS, these are at most SEEDS / (LEAST_WEIGHT * RESTART) words for each pole, however large the corpus; only
-    they come to the driver.
+    they come to the driver. A word of COMMON share of the language's words is no seed, and has no edges looked up.
     """
     spark = enc.sparkSession
     counts = stored(word_counts(enc), "counts")
     totals = cut(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")))
     given = [(k, int(c), pole) for k, poles in seeds.items() for pole, codes in zip(("toxic", "clean"), poles) for c in codes]
-    given = spark.createDataFrame(given, "lang string, code bigint, pole string")
-    there = given.join(counts, ["lang", "code"]).select("lang", "code", "pole").collect() if seeds else []
+    seeded = spark.createDataFrame(given, "lang string, code bigint, pole string")
+    rare = counts.join(small(totals), "lang").where(F.col("n") < COMMON * F.col("total")).select("lang", "code")
+    there = seeded.join(rare, ["lang", "code"]).select("lang", "code", "pole", F.lit(True).alias("rare")).collect() if given else []
     if not there:
         return {}
     sizes: dict = {}
@@ -210,7 +219,7 @@ def induce(enc: DataFrame, seeds: dict[str, tuple[np.ndarray, np.ndarray]]) -> d
     while True:
         new: dict[str, list] = {}
         for r in there:
-            if r["code"] not in known.setdefault(r["lang"], set()):
+            if r["rare"] and r["code"] not in known.setdefault(r["lang"], set()):
                 known[r["lang"]].add(r["code"])
                 new.setdefault(r["lang"], []).append(r["code"])
         if not new:
@@ -221,7 +230,8 @@ def induce(enc: DataFrame, seeds: dict[str, tuple[np.ndarray, np.ndarray]]) -> d
         top = at.groupBy("lang").agg(F.max("toxic").alias("mt"), F.max("clean").alias("mc"))
         of = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(0.0)
         at = at.join(small(cut(top)), "lang").select("lang", "code", of("toxic", "mt").alias("t"), of("clean", "mc").alias("c"))
-        there = at.where(f"greatest(t, c) >= {LEAST_WEIGHT}").select("lang", "code", (F.col("t") - F.col("c")).alias("weight")).collect()
+        reached = at.where(f"greatest(t, c) >= {LEAST_WEIGHT}").select("lang", "code", (F.col("t") - F.col("c")).alias("weight"))
+        there = reached.join(rare.withColumn("rare", F.lit(True)), ["lang", "code"], "left").select("lang", "code", "weight", F.coalesce("rare", F.lit(False)).alias("rare")).collect()
 
 
 def lexicons(enc: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[int, float]], dict[str, float]]:
