@@ -13,10 +13,13 @@ CAUSAL = ("causes", "enables", "prevents")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that spark.checkpoint.dir names; a folder of this machine only where there is none."""
+    """df computed once, in the folder that spark.checkpoint.dir names; a folder of this machine only where all runs on it."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="engramlake-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="engramlake-"))
     return df.checkpoint()
 
 
