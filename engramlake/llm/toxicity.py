@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, small, stored, table, word_code, word_codes
+from engramlake.llm.common import ChunkCoder, columns, cut, mix64, shared_dir, small, stored, table, word_code, word_codes
 
 #: English seed terms given by hand, beside those that the labels give; those that the corpus lacks don't count.
 TOXIC_SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "loser")
@@ -35,39 +36,93 @@ TOXIC, SCALE = 0.3, 100
 FALSE = 0.02
 #: Pairs of near words that a task holds.
 _HELD = 1 << 20
+#: Documents (about) that the books of frequent words come from, and words in all books. They change what the encoded words
+#: take on disk, and no result.
+BOOK_DOCS, BOOK = 16_000, 1 << 17
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and codes, the 64-bit codes of all words in order: written once, for all passes over the corpus."""
+    """doc_id, lang, ids and rare, which read() turns to the 64-bit codes of all words in order: written once, for all passes.
 
+    ids has 16 bits for each word, its place in its language's book of frequent words, and 0 for one that isn't there, whose
+    code is in rare. A language without a book has all its codes in rare. The books are in the shared folder, where the
+    metadata of ids says.
+    """
+    spark, d = docs.sparkSession, columns(docs).select("doc_id", "lang", "text")
+    n = d.count()
+    sample = d if n <= BOOK_DOCS else d.sample(BOOK_DOCS / n, 17)
+    top = word_counts(_encode(sample, {})).where("n > 1").orderBy(F.desc("n"), "lang", "code").limit(BOOK).toPandas()
+    books = {k: g["code"].to_numpy(np.int64)[: (1 << 16) - 1] for k, g in top.groupby("lang")}
+    path = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    spark.createDataFrame([(k, x.tobytes()) for k, x in books.items()], "lang string, codes binary").write.parquet(path)
+    return stored(_encode(d, books).withMetadata("ids", {"books": path}), "words")
+
+
+def _encode(docs: DataFrame, books: dict[str, np.ndarray]) -> DataFrame:
     def run(batches):
         coder = ChunkCoder(word_codes)
+        by = {k: (np.sort(x), np.argsort(x).astype(np.uint16) + np.uint16(1)) for k, x in books.items()}
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang": b["lang"], "codes": [coder.bytes(t) for t in b["text"]]})
-
-    return stored(columns(docs).select("doc_id", "lang", "text").mapInPandas(run, "doc_id bigint, lang string, codes binary"), "words")
+            ids, rare = [], []
+            for lang, text in zip(b["lang"], b["text"]):
+                c = coder.array(text, np.int64)
+                if lang in by:
+                    own, place = by[lang]
+                    at = np.minimum(np.searchsorted(own, c), len(own) - 1)
+                    there = own[at] == c
+                    ids.append(np.where(there, place[at], np.uint16(0)).tobytes())
+                    rare.append(c[~there].tobytes())
+                else:
+                    ids.append(b"")
+                    rare.append(c.tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang": b["lang"], "ids": ids, "rare": rare})
+
+    return docs.mapInPandas(run, "doc_id bigint, lang string, ids binary, rare binary")
+
+
+def reader(enc: DataFrame):
+    """A function that gives, for a batch with lang, ids and rare of enc, each row's word codes."""
+    path = enc.schema["ids"].metadata.get("books")
+    rows = enc.sparkSession.read.schema("lang string, codes binary").parquet(path).collect() if path else []
+    books = {r["lang"]: np.r_[0, np.frombuffer(r["codes"], np.int64)] for r in rows}
+
+    def read(b):
+        for lang, ids, rare in zip(b["lang"], b["ids"], b["rare"]):
+            c = np.frombuffer(rare, np.int64)
+            if lang in books:
+                at = np.frombuffer(ids, np.uint16)
+                own = books[lang][at]
+                own[at == 0] = c
+                c = own
+            yield c
+
+    return read
 
 
 def word_counts(enc: DataFrame) -> DataFrame:
     """lang, code, n: how often each word comes in all documents of a language, counted ahead in each task."""
+    read = reader(enc)
 
     def run(batches):
         for b in batches:
-            for lang, own in b.groupby("lang", sort=False):
-                codes, n = np.unique(np.frombuffer(b"".join(own["codes"]), np.int64), return_counts=True)
+            by: dict[str, list] = {}
+            for lang, c in zip(b["lang"], read(b)):
+                by.setdefault(lang, []).append(c)
+            for lang in list(by):
+                codes, n = np.unique(np.concatenate(by.pop(lang)), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    return enc.where("lang IS NOT NULL").select("lang", "codes").mapInPandas(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return enc.where("lang IS NOT NULL").select("lang", "ids", "rare").mapInPandas(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def labelled(enc: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, label, codes: a sample of the labelled documents, LABELLED for each language and label, by a hash of doc_id."""
+    """doc_id, lang, label, ids, rare: a sample of the labelled documents, LABELLED for each language and label, by a hash of doc_id."""
     known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     named = cut(enc.where("lang IS NOT NULL").select("doc_id", "lang").join(known, "doc_id"))
     share = named.groupBy("lang", "label").agg(F.least(F.lit(1.0), F.lit(float(LABELLED)) / F.count("*")).alias("share"))
     picked = named.join(small(cut(share)), ["lang", "label"]).where("pmod(xxhash64(doc_id), 1000000) < share * 1000000").select("doc_id", "label").distinct()
-    return enc.where("lang IS NOT NULL").join(small(cut(picked)), "doc_id").select("doc_id", "lang", "label", "codes")
+    return enc.where("lang IS NOT NULL").join(small(cut(picked)), "doc_id").select("doc_id", "lang", "label", "ids", "rare")
 
 
 def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -78,12 +133,12 @@ def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     A seed is LEAST_RATIO times as frequent in its pole's documents as in the other's, at least.
     sample: as labelled() gives it, which bounds what comes to the driver.
     """
+    read = reader(sample)
 
     def run(batches):
         for b in batches:
             out = []
-            for lang, label, codes in zip(b["lang"], b["label"], b["codes"]):
-                c = np.frombuffer(codes, np.int64)
+            for lang, label, c in zip(b["lang"], b["label"], read(b)):
                 around = _around(c)
                 order = np.lexsort((around, c))
                 code, first = np.unique(c[order], return_index=True)
@@ -94,7 +149,7 @@ def label_seeds(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             if out:
                 yield pd.concat(out)
 
-    rows = sample.select("lang", "label", "codes").mapInPandas(run, "lang string, label int, code bigint, around bigint")
+    rows = sample.select("lang", "label", "ids", "rare").mapInPandas(run, "lang string, label int, code bigint, around bigint")
     of = lambda label: F.sum((F.col("label") == label).cast("bigint"))
     found = rows.distinct().groupBy("lang", "code").agg(of(1).alias("t"), of(0).alias("n")).where(f"t >= {LEAST_DOCS} OR n >= {LEAST_DOCS}").toPandas()
     sizes = {(r["lang"], r["label"]): r["count"] for r in sample.groupBy("lang", "label").count().collect()}
@@ -135,12 +190,13 @@ def near_counts(enc: DataFrame, terms: dict[str, np.ndarray]) -> DataFrame:
     Passages that are copied count once: n is the number of different pairs of words around b.
     """
     terms = {k: np.sort(v) for k, v in terms.items() if len(v)}
+    read = reader(enc)
 
     def run(batches):
         for b in batches:
             out, n = {}, 0
-            for lang, codes in zip(b["lang"], b["codes"]):
-                own, c = terms.get(lang), np.frombuffer(codes, np.int64)
+            for lang, c in zip(b["lang"], read(b)):
+                own = terms.get(lang)
                 if own is None or not len(c):
                     continue
                 at = np.flatnonzero(own[np.minimum(np.searchsorted(own, c), len(own) - 1)] == c)
@@ -158,7 +214,7 @@ def near_counts(enc: DataFrame, terms: dict[str, np.ndarray]) -> DataFrame:
                         out, n = {}, 0
             yield from _distinct(out)
 
-    each = enc.where(F.col("lang").isin(list(terms))).select("lang", "codes").mapInPandas(run, "lang string, a bigint, b bigint, around bigint").distinct()
+    each = enc.where(F.col("lang").isin(list(terms))).select("lang", "ids", "rare").mapInPandas(run, "lang string, a bigint, b bigint, around bigint").distinct()
     return each.groupBy("lang", "a", "b").agg(F.count("*").alias("n")).where(f"n >= {LEAST_NEAR}")
 
 
@@ -242,7 +298,7 @@ def lexicons(enc: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[int, flo
     toxic, clean = seeds.get("en", (np.empty(0, np.int64), np.empty(0, np.int64)))
     seeds["en"] = np.union1d(toxic, by_hand), np.setdiff1d(clean, by_hand)
     own = induce(enc, dict(sorted(seeds.items())))
-    known = score(sample.select("doc_id", "lang", "codes"), own).join(sample.select("doc_id", "lang", "label"), "doc_id").select("lang", "label", "score").toPandas()
+    known = score(sample, own).join(sample.select("doc_id", "lang", "label"), "doc_id").select("lang", "label", "score").toPandas()
     return own, {k: _least(g["score"].to_numpy(), g["label"].to_numpy() == 1) for k, g in known.groupby("lang")}
 
 
@@ -280,13 +336,13 @@ def score(enc: DataFrame, own: dict[str, dict[int, float]], least: dict[str, flo
             if w > 0:
                 every[c] = max(w, every.get(c, 0.0))
     other, by = arrays(every), {k: arrays(x) for k, x in own.items() if x}
+    read = reader(enc)
 
     def run(batches):
         for b in batches:
             hits, total = np.zeros(len(b), np.int64), np.zeros(len(b))
             need = np.array([(least or {}).get(lang, TOXIC) for lang in b["lang"]], float)
-            for i, (text, lang) in enumerate(zip(b["codes"], b["lang"])):
-                c = np.frombuffer(text, np.int64)
+            for i, (c, lang) in enumerate(zip(read(b), b["lang"])):
                 codes, weights = by.get(lang, other)
                 if len(c) and len(codes):
                     at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
@@ -294,7 +350,7 @@ def score(enc: DataFrame, own: dict[str, dict[int, float]], least: dict[str, flo
                     hits[i], total[i] = (w > 0).sum(), w.sum() * SCALE / max(SCALE, len(c))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "hits": hits, "score": total.round(6), "toxic": total.round(6) >= need})
 
-    return enc.select("doc_id", "lang", "codes").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
+    return enc.select("doc_id", "lang", "ids", "rare").mapInPandas(run, "doc_id bigint, hits bigint, score double, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

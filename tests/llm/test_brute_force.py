@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -376,6 +377,20 @@ def test_toxicity_in_every_language(spark):
         assert figures[lang][0] >= recall and figures[lang][1] <= 0.04, figures
 
 
+def test_encoded_words_are_all_there_and_small(spark):
+    """All codes in order, also of rare words and of languages without a book, in 2 bytes a word of disk."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    more = spark.createDataFrame([(-1, None, "the old sea"), (-2, "xx", "onceonly"), (-3, "en", None), (-4, "en", "onceonly the"), (-5, "de", "")], docs.schema)
+    all_docs = docs.unionByName(more)
+    enc = toxicity.encoded(all_docs)
+    rows = enc.select("doc_id", "lang", "ids", "rare").toPandas()
+    got = dict(zip(rows["doc_id"], toxicity.reader(enc)(rows)))
+    coder = common.ChunkCoder(common.word_codes)
+    want = {r["doc_id"]: coder.array(r["text"], np.int64).tolist() for r in all_docs.collect()}
+    assert {k: v.tolist() for k, v in got.items()} == want and len(got) == len(rows)
+    assert sum(Path(f.removeprefix("file://")).stat().st_size for f in enc.inputFiles()) <= 2 * sum(map(len, want.values()))
+
+
 def test_near_words_are_counted_once_a_passage(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice(("bad", "evil", "good", "sun", "sea", "sky")) for _ in range(r.randrange(40))) for _ in range(60)] * 2
