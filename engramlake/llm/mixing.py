@@ -5,14 +5,16 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import math
-import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, small, stored, table
+from engramlake.llm.common import columns, cut, mix64, slices, small, stored, table
 
 BLOCK, SHARD, SEED = 2048, 1024, 17
 #: Exponent that takes the sources' shares to their default target weights.
@@ -23,8 +25,9 @@ END = 50256
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Blocks to a run of tokens.
 CHUNK = 64
+#: Characters of the texts (about) that are encoded together.
+SLICE = 1 << 24
 _NO_SOURCE = ""
-_ODD_SPACE = re.compile(r"\s |\s\Z| \s")
 
 
 @functools.cache
@@ -37,21 +40,71 @@ def encoding(ranks: str):
 
 
 class TextCoder:
-    """A text's token ids, chunk by chunk: tokens never reach over a single space, so that chunks can be kept."""
+    """Texts' token ids: tokens never reach over a single space, so that each different chunk of many texts is encoded once.
 
-    def __init__(self, ranks: str):
-        self.encode = encoding(ranks).encode_ordinary
-        self.kept = ChunkCoder(lambda chunk: np.array(self.encode(" " + chunk), np.uint16).tobytes())
+    Chunks are encoded together, with a space before each; only there a token begins with one.
+    """
 
-    def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return np.array(self.encode(text), np.uint16).tobytes()
-        head, space, rest = text.partition(" ")
-        first = np.array(self.encode(head), np.uint16).tobytes()
-        return first + b"".join(map(self.kept.__getitem__, rest.split(" "))) if space else first
+    #: Chunks that are encoded together, and chunks whose tokens are put in place together.
+    JOINED, PLACED = 20_000, 200_000
 
+    def __init__(self, ranks: str):
+        coding = encoding(ranks)
+        self.encode = coding.encode_ordinary
+        self.begins = np.array([coding.decode_single_token_bytes(i).startswith(b" ") for i in range(coding.n_vocab)])
 
-def _stream(batches, encode, block: int):
+    def __call__(self, text: str) -> bytes:
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, coded = split.offsets.to_numpy().copy(), split.values.dictionary_encode()
+        place, chunks = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        # White space at a chunk's end is taken by the tokenizer with the space beside it.
+        odd = np.array([not c or c.strip() != c for c in chunks], bool)
+        heads = [chunks[i] for i in place[at[:-1]]]
+        at_odd = odd[place]
+        at_odd[at[:-1]] = [h[-1:].isspace() for h in heads]
+        whole = np.diff(np.r_[0, np.cumsum(at_odd)][at]) > 0
+        whole &= np.diff(at) > 1
+        place[at[:-1]] = len(chunks) + np.arange(len(heads))  # a text's first chunk has no space before it
+        tokens, sizes = [], []
+        good = np.flatnonzero(~odd)
+        for k in range(0, len(good), self.JOINED):
+            ids = np.array(self.encode(" " + " ".join(chunks[i] for i in good[k : k + self.JOINED])), np.uint16)
+            tokens.append(ids)
+            sizes.append(np.diff(np.r_[np.flatnonzero(self.begins[ids]), len(ids)]))
+        size = np.zeros(len(chunks), np.int64)
+        size[good] = np.concatenate(sizes) if sizes else 0
+        first = [np.array(self.encode(h), np.uint16) for h in heads]
+        size = np.r_[size, [len(f) for f in first]].astype(np.int64)
+        table_, begin = np.concatenate([*tokens, *first]), np.cumsum(size) - size
+        out = []
+        ends = np.cumsum(size[place])
+        for i, j in zip(*_ranges(at, self.PLACED)):
+            p = place[at[i] : at[j]]
+            n = size[p]
+            to = np.cumsum(n)
+            taken = table_[np.repeat(begin[p] - to + n, n) + np.arange(to[-1])].tobytes()
+            base = ends[at[i]] - n[0]
+            cuts = [0, *(2 * (ends[at[i + 1 : j + 1] - 1] - base)).tolist()]
+            out += [taken[x:y] for x, y in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.encode(texts[i]), np.uint16).tobytes()
+        return out
+
+
+def _ranges(at: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of ranges of texts with at most so many chunks together, one text at least."""
+    cuts = [0]
+    while cuts[-1] < len(at) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + most, side="right")) - 1))
+    return cuts[:-1], cuts[1:]
+
+
+def _stream(batches, coder: TextCoder, block: int):
     """Runs of whole documents' tokens, of CHUNK blocks or more: source, at (the place in the partition's source), tokens, docs, ends."""
     end = np.array([END], np.uint16).tobytes()
     held: dict[str, list] = {}
@@ -67,9 +120,11 @@ def _stream(batches, encode, block: int):
     size: dict[str, int] = {}
     for b in batches:
         rows = []
-        for doc, source, text in zip(b["doc_id"], b["source"], b["text"]):
+        texts = b["text"].tolist()
+        coded = itertools.chain.from_iterable(coder.all(texts[i:j]) for i, j in slices(texts, SLICE))
+        for doc, source, tokens in zip(b["doc_id"], b["source"], coded):
             source = _NO_SOURCE if source is None else source
-            tokens = encode(text) + end
+            tokens += end
             held.setdefault(source, []).append((None if doc is None or doc != doc else int(doc), tokens))
             size[source] = size.get(source, 0) + len(tokens)
             if size[source] >= 2 * block * CHUNK:

@@ -271,6 +271,24 @@ def test_chunked_tokens_are_the_tokenizers(text):
     assert got == mixing.encoding(mixing.RANKS).encode_ordinary(text)
 
 
+def test_each_chunk_of_many_texts_is_encoded_once(monkeypatch):
+    """Tokens of texts together are the tokenizer's; beside first words, 50,000 chunks go to it in a few calls."""
+    r = random.Random(3)
+    parts = ["a", "b", " ", " ", "\n", "  ", "\t", "don't", "12", ",", "é", "中", "\x1c", "\xa0", "\r\n", "😀", ".", "the"]
+    coder = mixing.TextCoder(mixing.RANKS)
+    encode, calls = coder.encode, []
+    plain = lambda texts: [np.array(encode(t), np.uint16).tobytes() for t in texts]
+    texts = [" ".join(f"w{r.randrange(10_000)}" for _ in range(5000)) for _ in range(10)]
+    coder.encode = lambda t: calls.append(t) or encode(t)
+    assert coder.all(texts) == plain(texts)
+    assert len(calls) <= 12 and sum(map(len, calls)) < sum(map(len, texts)) / 3
+    monkeypatch.setattr(mixing.TextCoder, "PLACED", 7)
+    monkeypatch.setattr(mixing.TextCoder, "JOINED", 3)
+    for _ in range(300):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(r.randrange(6))]
+        assert coder.all(texts) == plain(texts), texts
+
+
 def test_permutations_and_draws(spark):
     for n in (1, 2, 3, 64, 1000, 4097):
         assert sorted(mixing.permute(np.arange(n), n, 12345).tolist()) == list(range(n))
