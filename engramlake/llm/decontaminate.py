@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, numbered, small, stored, table, word_codes
+from engramlake.llm.common import ChunkCoder, columns, cut, lean, numbered, small, stored, table, word_codes
 
 #: Tokens of an exact phrase; a shorter item of SHORT tokens or more is one phrase.
 PHRASE, SHORT = 13, 5
@@ -59,7 +59,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if rids:
             yield pd.DataFrame([_segment(rids, codes)], columns=_INDEX)
 
-    return stored(docs.select("rid", "text").mapInPandas(run, ", ".join(f"{c} binary" for c in _INDEX)), "postings")
+    return stored(docs.select("rid", "text").mapInPandas(lean(run), ", ".join(f"{c} binary" for c in _INDEX)), "postings")
 
 
 _INDEX = ["rids", "terms", "df", "tf", "doc", "pos"]
@@ -77,7 +77,7 @@ def document_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
                 hit = terms[at] == wanted
                 yield pd.DataFrame({"term": wanted[hit].view(np.int64), "df": np.frombuffer(df, np.uint32)[at[hit]].astype(np.int64)})
 
-    rows = index.select("terms", "df").mapInPandas(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    rows = index.select("terms", "df").mapInPandas(lean(run), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
     return {int(np.int64(r["term"]).view(np.uint64)): r["df"] for r in rows}
 
 
@@ -192,7 +192,7 @@ def _pass(index: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFrame:
                 if hits:
                     yield pd.DataFrame([(r, ids[k], n, m) for r, k, n, m in hits], columns=["rid", "item_id", "phrases", "near"]).astype({"item_id": "Int64"})
 
-    return index.select("rids", "terms", "tf", "doc", "pos").mapInPandas(run, "rid bigint, item_id bigint, phrases bigint, near bigint")
+    return index.select("rids", "terms", "tf", "doc", "pos").mapInPandas(lean(run), "rid bigint, item_id bigint, phrases bigint, near bigint")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from engramlake.llm.common import columns, cut, mix64, slices, small, stored, table
+from engramlake.llm.common import columns, cut, lean, mix64, slices, small, stored, table
 
 BLOCK, SHARD, SEED = 2048, 1024, 17
 #: Exponent that takes the sources' shares to their default target weights.
@@ -158,12 +158,12 @@ def blocks(docs: DataFrame, block: int = BLOCK, ranks: str = RANKS) -> DataFrame
     parts moved and put together. tokens are 16-bit ids, docs the ids of the documents in the block.
     """
     d = columns(docs).where("text is not null").select("doc_id", "source", "text")
-    runs = d.mapInPandas(lambda it: _stream(it, TextCoder(ranks), block), "source string, at bigint, tokens binary, docs array<bigint>, ends array<bigint>")
+    runs = d.mapInPandas(lean(lambda it: _stream(it, TextCoder(ranks), block)), "source string, at bigint, tokens binary, docs array<bigint>, ends array<bigint>")
     runs = stored(runs.select(F.spark_partition_id().alias("pid"), "*", (F.length("tokens") / 2).cast("bigint").alias("n")), "tokens")
     count = runs.groupBy("source", "pid").agg(F.sum("n").alias("n"))
     base = cut(count.select("source", "pid", (F.sum("n").over(Window.partitionBy("source").orderBy("pid")) - F.col("n")).alias("base")))
     runs = runs.join(small(base), ["source", "pid"]).select("source", (F.col("base") + F.col("at")).alias("at"), "tokens", "docs", "ends")
-    parts = runs.mapInPandas(lambda it: _cut_blocks(it, block), "source string, idx bigint, off int, docs array<bigint>, tokens binary")
+    parts = runs.mapInPandas(lean(lambda it: _cut_blocks(it, block)), "source string, idx bigint, off int, docs array<bigint>, tokens binary")
     whole = F.length("tokens") == 2 * block
     by = parts.where(~whole).groupBy("source", "idx").agg(F.sort_array(F.collect_list(F.struct("off", "docs", "tokens"))).alias("p"))
     joined = F.aggregate(F.col("p.tokens"), F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y))

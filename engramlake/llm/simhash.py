@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, cut, mix64, numbered, small, table, words
+from engramlake.llm.common import ChunkCoder, columns, cut, give_back, lean, mix64, numbered, small, table, words
 
 #: Bits of 128 that may differ: at most 1 in some segment of 16.
 NEAR, _SEGMENTS = 15, 8
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     rows.append((rid, doc, *fingerprint(pairs)))
             yield pd.DataFrame(rows, columns=["rid", "doc_id", "lo", "hi", "n"]).astype({"doc_id": "Int64"})
 
-    return docs.select("rid", "doc_id", "text").mapInPandas(run, "rid bigint, doc_id bigint, lo bigint, hi bigint, n bigint")
+    return docs.select("rid", "doc_id", "text").mapInPandas(lean(run), "rid bigint, doc_id bigint, lo bigint, hi bigint, n bigint")
 
 
 def _places(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def anchor_counts(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"key": at, "n": n[at]})
 
     n = np.zeros(2 * _KEYS, np.int64)
-    for r in nodes.select("lo", "hi").mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in nodes.select("lo", "hi").mapInPandas(lean(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
         n[r["key"]] = r["n"]
     return n[:_KEYS], n[_KEYS:]
 
@@ -184,7 +184,7 @@ def entries(nodes: DataFrame, buckets: int, across: np.ndarray, down: np.ndarray
         if n:
             yield pack(held)
 
-    return nodes.select("rid", "lo", "hi").mapInPandas(run, "bucket int, data binary")
+    return nodes.select("rid", "lo", "hi").mapInPandas(lean(run), "bucket int, data binary")
 
 
 def _compare(b: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +223,13 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     down, across = np.maximum(1, -(-own // BLOCK)).astype(np.int32), np.maximum(1, -(-beside // BLOCK)).astype(np.int32)
     total = int((own * np.maximum(across, down) + beside * down).sum())
     buckets = max(12, math.ceil(total / ENTRIES_A_BUCKET))
-    return entries(nodes, buckets, across, down).groupBy("bucket").applyInPandas(_compare, "a bigint, b bigint").distinct()
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        out = _compare(b)
+        give_back()
+        return out
+
+    return entries(nodes, buckets, across, down).groupBy("bucket").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
