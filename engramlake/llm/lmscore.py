@@ -26,6 +26,8 @@ ROUNDS = 3
 A_TRAINER, PIECE, STEP, RATE, FIRST = 2_000_000, 4096, 4096, 0.06, 5e-3
 #: Equal positions of a step that are one, with a weight.
 TOGETHER = 2
+#: Parameters of a slice that is averaged by itself, and of all trainers' copies of it; fewer where there are more trainers.
+A_SLICE, COPIES = 1 << 16, 1 << 22
 #: Positions scored at a time; rows of a product; bytes of text encoded at a time.
 _CHUNK, _ROWS, _SLICE = 1 << 18, 1024, 1 << 24
 _BITS = 21
@@ -105,24 +107,34 @@ class Vocabulary:
         self.spread = np.log(np.r_[np.ones(len(n)), np.maximum(end_words, 1)])[order]
         self.by_ending = number[len(n) :].astype(np.uint16)
         self.codes, self.numbers = np.r_[codes.astype(np.int64), 0], np.r_[number[: len(n)], 0].astype(np.uint16)
-        # Two tables by different bits of the code, for codes that collide in the first.
-        self.first, self.second = np.full(1 << _BITS, len(codes), np.int32), np.full(1 << _BITS, len(codes), np.int32)
-        at = (codes & (1 << _BITS) - 1).astype(np.int64)
-        took = np.unique(at, return_index=True)[1]
-        self.first[at[took]] = took
-        rest = np.setdiff1d(np.arange(len(codes)), took)
-        self.second[codes[rest] >> _BITS & (1 << _BITS) - 1] = rest
         self.groups = -(-self.size // GROUP)
         self.group_share = np.add.reduceat(self.share, np.arange(0, self.size, GROUP))
 
+    def __getstate__(self) -> dict:
+        """Without the tables, which are most of it: they are made where words are looked up."""
+        return {k: x for k, x in self.__dict__.items() if k != "tables"}
+
+    @functools.cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables by different bits of the code, for codes that collide in the first."""
+        codes = self.codes[:-1]
+        first, second = np.full(1 << _BITS, len(codes), np.int32), np.full(1 << _BITS, len(codes), np.int32)
+        at = codes & (1 << _BITS) - 1
+        took = np.unique(at, return_index=True)[1]
+        first[at[took]] = took
+        rest = np.setdiff1d(np.arange(len(codes)), took)
+        second[codes[rest] >> _BITS & (1 << _BITS) - 1] = rest
+        return first, second
+
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of words by their codes."""
-        at = self.first.take(codes & (1 << _BITS) - 1)
+        first, second = self.tables
+        at = first.take(codes & (1 << _BITS) - 1)
         ok = (self.codes.take(at) == codes) & (at < len(self.codes) - 1)
         out = self.numbers.take(at)
         rest = np.flatnonzero(~ok)
         codes = codes.take(rest)
-        at = self.second.take(codes >> _BITS & (1 << _BITS) - 1)
+        at = second.take(codes >> _BITS & (1 << _BITS) - 1)
         ok = (self.codes.take(at) == codes) & (at < len(self.codes) - 1)
         out[rest] = np.where(ok, self.numbers.take(at), self.by_ending.take((codes.view(np.uint64) >> np.uint64(56)).astype(np.int64)))
         return out
@@ -132,7 +144,8 @@ def vocabulary(enc: DataFrame, size: int | None = None) -> Vocabulary:
     """From the counts of all words in all documents; what comes to the driver is bounded by VOCABULARY and ENDINGS."""
     size = VOCABULARY if size is None else size
     counts = stored(word_counts(enc), "counts")
-    top = counts.orderBy(F.desc("n"), "code").limit(size).toPandas()
+    # Stored, as the driver would otherwise get so many words of each task.
+    top = stored(counts.orderBy(F.desc("n"), "code").limit(size), "top").toPandas().sort_values(["n", "code"], ascending=[False, True])
     ending = F.shiftrightunsigned("code", 56)
     by = counts.groupBy(ending.alias("e")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     end_words, end_n = np.zeros(ENDINGS), np.zeros(ENDINGS)
@@ -323,24 +336,24 @@ def fit(enc: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary, and the model's parameters, from all positions of all documents.
 
     The number of trainers grows with the input: in each round every trainer passes once over its own pieces of that
-    round's part, from the parameters that the round before left, and the results are averaged by weight.
+    round's part, from the parameters that the round before left, and the results are averaged by weight. They are averaged
+    in slices, so that the driver gets one set of parameters however many trainers there are.
     """
     v = vocabulary(enc)
     total = enc.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
     trainers = max(1, math.ceil(total / 8 / ROUNDS / A_TRAINER))
     parts = stored(pieces(enc, v, trainers), "pieces", ["round"])
-    groups = max(1, math.isqrt(trainers))
     flat = Model(v).flat
+    size = max(1, min(A_SLICE, COPIES // trainers))
     for k in range(ROUNDS):
-        trained = parts.where(F.col("round") == k).select("trainer", "h", "ids").groupBy("trainer").applyInPandas(_trainer(flat, v, k, groups), "trainer int, part int, weight double, sums binary")
-        got = trained.groupBy("part").applyInPandas(_add, "part int, weight double, sums binary").collect()
+        trained = parts.where(F.col("round") == k).select("trainer", "h", "ids").groupBy("trainer").applyInPandas(_trainer(flat, v, k, size), "trainer int, weight double, slice int, params binary")
+        got = trained.groupBy("slice").applyInPandas(_average, "slice int, params binary").collect()
         if got:
-            got.sort(key=lambda r: r["part"])
-            flat = (sum(np.frombuffer(r["sums"]) for r in got) / sum(r["weight"] for r in got)).astype(np.float32)
+            flat = np.concatenate([np.frombuffer(r["params"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
     return v, flat
 
 
-def _trainer(flat: np.ndarray, v: Vocabulary, k: int, groups: int):
+def _trainer(flat: np.ndarray, v: Vocabulary, k: int, size: int):
     def run(b: pd.DataFrame) -> pd.DataFrame:
         keep_heap()
         model = Model(v, flat)
@@ -349,16 +362,17 @@ def _trainer(flat: np.ndarray, v: Vocabulary, k: int, groups: int):
         word = np.concatenate([x[CONTEXT:] for x in ids])
         contexts = np.stack([np.concatenate([x[i : len(x) - CONTEXT + i] for x in ids]) for i in range(CONTEXT)], 1)
         train(model, v, contexts, word, trainer * ROUNDS + k)
-        return pd.DataFrame({"trainer": [trainer], "part": [trainer % groups], "weight": [float(len(word))], "sums": [(model.flat * np.float32(len(word))).tobytes()]})
+        params = [model.flat[i : i + size].tobytes() for i in range(0, len(model.flat), size)]
+        return pd.DataFrame({"trainer": trainer, "weight": float(len(word)), "slice": range(len(params)), "params": params})
 
     return run
 
 
-def _add(b: pd.DataFrame) -> pd.DataFrame:
-    """The sum of the trainers' parameters, in the trainers' order."""
+def _average(b: pd.DataFrame) -> pd.DataFrame:
+    """The trainers' mean of a slice of the parameters by their weights, summed in the trainers' order."""
     b = b.sort_values("trainer")
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in b["sums"])
-    return pd.DataFrame({"part": [int(b["part"].iloc[0])], "weight": [b["weight"].sum()], "sums": [total.tobytes()]})
+    total = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(b["weight"], b["params"]))
+    return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "params": [(total / b["weight"].sum()).astype(np.float32).tobytes()]})
 
 
 def log_probs(model: Model, v: Vocabulary, contexts: np.ndarray, word: np.ndarray) -> np.ndarray:

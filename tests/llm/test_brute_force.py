@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 from pathlib import Path
@@ -558,6 +559,39 @@ def test_draws_within_a_group_are_by_share():
         assert np.allclose(got[k : k + size], v.share[k : k + size] / v.share[k : k + size].sum(), atol=1e-6)
 
 
+def test_driver_gets_one_set_of_parameters(spark, monkeypatch):
+    """However many trainers there are; it is their mean by weight, and the vocabulary is that of plain counts."""
+    enc = lmscore.encoded(spark.createDataFrame(list(enumerate(made_up(300))), "doc_id long, text string")).cache()
+    held, collect = [], type(enc).collect
+
+    def counted(self):
+        rows = collect(self)
+        held.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(lmscore, "A_TRAINER", 200)
+    with monkeypatch.context() as m:
+        m.setattr(type(enc), "collect", counted)
+        v, flat = lmscore.fit(enc)
+    assert flat.nbytes == max(held)
+    codes = collections.Counter(x for r in enc.collect() for x in np.frombuffer(r["codes"], np.int64).tolist())
+    trainers = -(-sum(codes.values()) // (lmscore.ROUNDS * lmscore.A_TRAINER))
+    assert trainers >= 9
+    assert lmscore.vocabulary(enc, 50).codes[:-1].tolist() == sorted(codes, key=lambda c: (-codes[c], c))[:50]
+    parts, plain = lmscore.pieces(enc, v, trainers).toPandas(), lmscore.Model(v).flat
+    for k in range(lmscore.ROUNDS):
+        out = [lmscore._trainer(plain, v, k, plain.size)(b) for _, b in parts[parts["round"] == k].groupby("trainer")]
+        plain = np.average([np.frombuffer(b["params"][0], np.float32) for b in out], axis=0, weights=[b["weight"][0] for b in out]).astype(np.float32)
+    assert np.allclose(plain, flat, atol=1e-5)
+
+
+def test_vocabulary_is_sent_without_its_tables():
+    codes = np.arange(1, 8) * 1_000_003
+    v = lmscore.Vocabulary(codes, np.arange(7, 0, -1), np.zeros(256), np.zeros(256))
+    numbers, sent = v(codes), pickle.dumps(v)
+    assert len(sent) < 1 << 20 and (pickle.loads(sent)(codes) == numbers).all()
+
+
 def test_quality_rules_keep_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
