@@ -168,7 +168,7 @@ def give_back() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """run, for mapInPandas, after which its worker gives back what it doesn't need any more.
+    """run, for mapInPandas or mapInArrow, after which its worker gives back what it doesn't need any more.
 
     An executor has more workers than cores and they stay for later tasks, where what they keep counts as the executor's.
     """

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm.common import ChunkCoder, columns, keep_heap, stored, table, words
+from engramlake.llm.common import ChunkCoder, columns, give_back, keep_heap, lean, stored, table, words
 
 #: Words that the model knows by themselves, the most frequent ones; the others are known by their endings, of so many kinds.
 VOCABULARY, ENDINGS = 32_000, 256
@@ -62,7 +62,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             for i, j in zip(edges[:-1], edges[1:]):
                 yield pa.record_batch([b.column("doc_id").slice(i, j - i), _encode(coder, text.slice(i, j - i))], ["doc_id", "codes"])
 
-    return stored(columns(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, codes binary"), "words")
+    return stored(columns(docs).select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, codes binary"), "words")
 
 
 def _encode(coder: ChunkCoder, text: pa.Array) -> pa.Array:
@@ -87,7 +87,7 @@ def word_counts(enc: DataFrame) -> DataFrame:
             codes, n = np.unique(np.frombuffer(b"".join(b["codes"]), np.int64), return_counts=True)
             yield pd.DataFrame({"code": codes, "n": n})
 
-    return enc.select("codes").mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return enc.select("codes").mapInPandas(lean(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -326,7 +326,7 @@ def pieces(enc: DataFrame, v: Vocabulary, trainers: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=_PIECES)
 
-    return enc.select("doc_id", "codes").mapInPandas(run, "round int, trainer int, h bigint, ids binary")
+    return enc.select("doc_id", "codes").mapInPandas(lean(run), "round int, trainer int, h bigint, ids binary")
 
 
 _PIECES = ["round", "trainer", "h", "ids"]
@@ -354,7 +354,7 @@ def fit(enc: DataFrame) -> tuple[Vocabulary, np.ndarray]:
 
 
 def _trainer(flat: np.ndarray, v: Vocabulary, k: int, size: int):
-    def run(b: pd.DataFrame) -> pd.DataFrame:
+    def trained(b: pd.DataFrame) -> pd.DataFrame:
         keep_heap()
         model = Model(v, flat)
         trainer = int(b["trainer"].iloc[0])
@@ -365,6 +365,12 @@ def _trainer(flat: np.ndarray, v: Vocabulary, k: int, size: int):
         params = [model.flat[i : i + size].tobytes() for i in range(0, len(model.flat), size)]
         return pd.DataFrame({"trainer": trainer, "weight": float(len(word)), "slice": range(len(params)), "params": params})
 
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return trained(b)
+        finally:
+            give_back()
+
     return run
 
 
@@ -438,7 +444,7 @@ def score(enc: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
             mean[n == 0] = pd.NA
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "log_prob": total, "mean_log_prob": mean})
 
-    return enc.select("doc_id", "codes").mapInPandas(run, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
+    return enc.select("doc_id", "codes").mapInPandas(lean(run), "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
 
 
 def _totals(model: Model, v: Vocabulary, codes: pd.Series, n: np.ndarray) -> np.ndarray:
