@@ -59,6 +59,56 @@ def test_batch_equals_single(spark):
         assert sorted(by[r["query_id"]]) == [(-round(s, 6), i) for i, s in pairs(vector.top_k(e, r["vector"], 5, "text"), "node_id", "score")]
 
 
+def test_batch_in_slabs(spark, monkeypatch):
+    """Whatever the slabs: the same plan, ties by node_id wherever equal vectors lie, and vectors that have no direction."""
+    import numpy as np
+
+    m = np.random.default_rng(1).standard_normal((300, 7)).astype("f4")
+    m[100:200] = m[:100]  # copies
+    m[200:240] = m[0]
+    m[240], m[241, 3] = 0, np.inf
+    v = {f"n{i * 7919 % 1000:03}": m[i].tolist() for i in range(300)} | {"short": [1.0, 0.0]}
+    e = spark.createDataFrame([(0, "text", n, x) for n, x in [*v.items(), ("empty", []), ("none", None), ("lacks", [1.0, None, *[0.0] * 5])]], EMB)
+    q = e.select(F.col("node_id").alias("query_id"), "vector")
+
+    def product(a, b):
+        return sum(float(x) * float(y) for x, y in zip(a, b))
+
+    def score(a, b):
+        if not np.isfinite([*a, *b]).all():
+            return 1.0
+        n = (product(a, a) * product(b, b)) ** 0.5
+        return (1 + max(-1.0, min(1.0, product(a, b) / n))) / 2 if n else 0.0
+
+    want = {(i, j) for i, a in v.items() for j in sorted((j for j, b in v.items() if len(a) == len(b)), key=lambda j: (-score(a, v[j]), j))[:6]}
+    plans = []
+    for rows, size in ((4096, 1 << 20), (150, 150 * 28)):
+        monkeypatch.setattr(vector, "NODE_BYTES", size)
+        out = vector.batch_top_k(q, e, 6, rows=rows)
+        plans.append(out._jdf.queryExecution().executedPlan().toString().count("Arrow"))
+        got = out.collect()
+        assert {(r["query_id"], r["node_id"]) for r in got} == want and len(got) == len(want)
+        assert all(abs(r["score"] - score(v[r["query_id"]], v[r["node_id"]])) < 1e-12 for r in got)
+    assert plans[0] == plans[1] == 1
+    assert vector.batch_top_k(q, e, 0).count() == vector.batch_top_k(q.limit(0), e, 3).count() == vector.batch_top_k(q, e.limit(0), 3).count() == 0
+
+
+def test_batch_keeps_bounded_candidates(monkeypatch):
+    """Nearly equal vectors all pass the first look: they are settled as they come, and the best are still exact."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = (1 + 1e-7 * r.standard_normal((3000, 5))).astype("f4")
+    held, dot = [], vector._dot
+    monkeypatch.setattr(vector, "_dot", lambda a, b, i=None, j=None: held.append(0 if i is None else len(i)) or dot(a, b, i, j))
+    at, to, score = vector.nearest(v[:700], v, 3)
+    assert max(held) <= (1 << 16) + vector.TILE[0] * vector.TILE[1]
+    d = v.astype("f8")
+    for a in (0, 350, 699):
+        cosine = np.clip([sum((d[a] * b).tolist()) / (sum((d[a] ** 2).tolist()) * sum((b**2).tolist())) ** 0.5 for b in d], -1, 1)
+        assert to[at == a].tolist() == np.lexsort((np.arange(3000), -(1 + cosine) / 2))[:3].tolist()
+
+
 def test_hybrid(spark):
     e = embeddings(spark, A=[1, 0, 0, 0], B=[0.6, 0.8, 0, 0], C=[0, 0, 1, 0])
     out = pairs(vector.hybrid_search(e, links(spark, ("A", "C", "related", 1.0)), [1, 0, 0, 0], k=3, seed_k=5, direction="out", alpha=0.3, decay=1.0), "node_id", "score")
