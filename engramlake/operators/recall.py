@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from engramlake.functions.expressions import content_text, edge_is_valid_at, is_valid_at, lexical_terms
 from engramlake.operators import graph, vector
@@ -22,20 +25,57 @@ def postings(docs: DataFrame, id_col: str, text: Column, terms: Callable[[Column
     return t.groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
 
 
+_WORD_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for c in range(256))
+_CJK_RUN = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff]+")
+
+
+def terms_of(low: bytes) -> list[bytes]:
+    """lexical_terms of a text in lower case, in UTF-8."""
+    terms = low.translate(_WORD_BYTES).split()
+    if len(low) > 256 and max(map(len, terms), default=0) > 256:
+        terms = [t for t in terms if len(t) <= 256]
+    if not low.isascii():
+        for r in _CJK_RUN.findall(low.decode(errors="replace")):
+            terms += [c.encode() for c in r]
+            terms += [r[i : i + 2].encode() for i in range(len(r) - 1)]
+    return terms
+
+
+def _term_counts(batches, wanted: set[bytes]):
+    """id, len, term, tf of the texts (id, low) with a wanted term; for each batch a row of totals, n texts with len terms."""
+    for b in batches:
+        at, lens, terms, tf, total = [], [], [], [], 0
+        for i, low in enumerate(b.column(1).cast(pa.binary())):
+            if (low := low.as_py()) is not None:
+                every = terms_of(low)
+                total += len(every)
+                for t, c in Counter(filter(wanted.__contains__, every)).items():
+                    at.append(i)
+                    lens.append(len(every))
+                    terms.append(t.decode())
+                    tf.append(c)
+        n = len(at)
+        ids = b.column(0).take(pa.array([*at, None], pa.int64()))
+        rest = ((lens + [total], pa.int64()), (terms + [None], pa.string()), (tf + [None], pa.int64()), ([None] * n + [b.num_rows], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in rest)], ["id", "len", "term", "tf", "n"])
+
+
 def bm25(docs: DataFrame, query: str, id_col: str = "node_id", text: Column | None = None, keep: DataFrame | None = None) -> DataFrame:
     """id, score, terms: documents with a term of the query, best first, ties by id.
 
-    df, the number of documents and the mean length are of all documents; keep (id) narrows the result only. Just the
-    query's own terms are exploded, so what is moved grows with the matches.
+    df, the number of documents and the mean length are of all documents; keep (id) narrows the result only. The texts are
+    read once: what is kept of them, in the shared folder, are the counts of the query's own terms and a row of totals for
+    each batch (without a term), so that what is moved grows with the matches.
     """
     text = F.col("text") if text is None else text
     spark = docs.sparkSession
-    wanted = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(lexical_terms(F.lit(query))))).collect()]
-    d = docs.select(F.col(id_col).alias("id"), lexical_terms(text).alias("all"))
-    d = d.select("id", F.size("all").alias("len"), F.filter("all", lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("hits"))
-    stats = d.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
+    wanted = {r[0].encode() for r in spark.range(1).select(F.explode(F.array_distinct(lexical_terms(F.lit(query))))).collect()}
+    d = docs.select(F.col(id_col).alias("id"), F.lower(text).alias("low"))
+    schema = T.StructType([T.StructField("id", d.schema["id"].dataType)]).add("len", "long").add("term", "string").add("tf", "long").add("n", "long")
+    counts = graph.cut(d.mapInArrow(lambda batches: _term_counts(batches, wanted), schema))
+    stats = counts.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
     n, mean = stats["n"], max(stats["total"] / stats["n"], 1.0) if stats["n"] else 1.0
-    tf = d.where(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = counts.where("term is not null").groupBy("id", "len", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     if keep is not None:
         tf = tf.join(keep.select(F.col(keep.columns[0]).alias("id")), "id", "left_semi")
@@ -107,7 +147,9 @@ def recall(nodes: DataFrame, edges: DataFrame, request: Request, embeddings: Dat
         return nodes.sparkSession.createDataFrame([], "id string, score double, verified boolean, sources array<string>, evidence array<string>, conflicts array<string>")
     at = F.lit(request.as_of_ms)
     text = content_text(F.col("content")) if text is None else text
-    ok = nodes.where(is_valid_at(at))
+    # Without the texts, which only the terms need: what follows reads the nodes again and again.
+    heads = graph.cut(nodes.select("node_id", "kind", "state", "created_at_ms", "valid_from_ms", "valid_to_ms", *["metadata"] * bool(request.filter.metadata)))
+    ok = heads.where(is_valid_at(at))
     if request.filter.kinds:
         ok = ok.where(F.col("kind").isin(*request.filter.kinds))
     for key, js in request.filter.metadata:
@@ -125,10 +167,10 @@ def recall(nodes: DataFrame, edges: DataFrame, request: Request, embeddings: Dat
     seeds = graph.cut(fuse(branches, request.candidates).orderBy(F.desc("score"), "id").limit(request.candidates))
     scores = seeds
     if request.depth > 0:
-        found = graph.paths(seeds.select(F.col("id").alias("seed")), nodes, edges, request.as_of_ms, request.depth)
+        found = graph.paths(seeds.select(F.col("id").alias("seed")), heads, edges, request.as_of_ms, request.depth)
         bonus = found.join(F.broadcast(seeds.withColumnRenamed("id", "seed")), "seed").select(F.col("node_id").alias("id"), (F.col("score") * F.col("weight") * GRAPH_SHARE).alias("score"))
         scores = seeds.unionByName(bonus).groupBy("id").agg(F.sum("score").alias("score")).join(keep.select("id"), "id", "left_semi")
-    known = provenance(edges, nodes, request.as_of_ms)
+    known = provenance(edges, heads, request.as_of_ms)
     items = graph.cut(scores.join(known, "id", "left"))
     cited = items.select(F.explode("conflicts").alias("id"), "score").groupBy("id").agg(F.max("score").alias("score"))
     extra = cited.join(items.select("id"), "id", "left_anti").join(keep.select("id"), "id", "left_semi").join(known, "id", "left")

@@ -1,6 +1,7 @@
 """Vectors, graph, recall, evidence memory and lifecycle over small hand-made tables."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,32 @@ def test_bm25_of_cjk(spark):
     assert [r["id"] for r in out] == ["a"] and set(out[0]["terms"]) == {"乌", "龙", "茶", "乌龙", "龙茶"}
 
 
+def test_texts_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        reads.add(1)
+        return t
+
+    d = spark.createDataFrame([("a", "tea Tea green"), ("b", "green"), ("c", None), ("d", "tea " + "x" * 257)], "node_id string, text string")
+    out = pairs(recall.bm25(d, "TEA", text=seen("text")), "id", "score")
+    assert reads.value == 4
+    idf, mean = math.log(1 + 2.5 / 2.5), 5 / 4
+    part = lambda tf, n: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    assert out == sorted([("a", round(part(2, 3), 6)), ("d", round(part(1, 1), 6))], key=lambda r: -r[1])
+    n = nodes(spark, ("a", "tea", 1, None, "Active"), ("b", "no", 1, None, "Active"))
+    assert [r["id"] for r in recall.recall(n, links(spark, ("a", "b", "r", 1.0)), recall.Request("tea", 10), text=seen("content.text")).collect()] == ["a", "b"]
+    assert reads.value == 6
+
+
+def test_terms_in_python_are_the_same(spark):
+    texts = ["Foo_1 用户喜 bar-Baz é", "K\u212A\u0130x _", "x" * 256 + " " + "y" * 257, "", " \n", "カタ 漢a", "a" * 300 + "用" * 300, "\U00020000 \ud7ff\u3040\u00b5_9"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select(F.lower("t").alias("low"), x.lexical_terms(F.col("t")).alias("terms")).collect():
+        assert [t.decode() for t in recall.terms_of(r["low"].encode())] == r["terms"]
+
+
 def test_temporal_causal_and_conflict_recall(spark):
     n = nodes(
         spark, ("active", "weather is sunny", 50, None, "Active"), ("future", "weather future", 150, None, "Active"), ("expired", "weather expired", 20, 90, "Active"),
